@@ -44,9 +44,10 @@ def strategy(label: Column) -> Column:
 def device_numbers(spec: Column) -> Column:
     """An array of numbers from 0-7 or 0,1,3."""
     spec = F.trim(spec)
-    ends = F.split(spec, "-")
+    low, high = (F.substring_index(spec, "-", n).try_cast("int") for n in (1, -1))
     listed = F.transform(F.filter(F.transform(F.split(spec, ","), F.trim), lambda x: x != ""), lambda x: x.try_cast("int"))
-    return F.when(F.contains(spec, F.lit("-")) & ~F.contains(spec, F.lit(",")), F.sequence(F.element_at(ends, 1).try_cast("int"), F.element_at(ends, 2).try_cast("int"), F.lit(1))).otherwise(listed)
+    span = F.concat(F.array(low), F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<int>")))
+    return F.when(F.contains(spec, F.lit("-")) & ~F.contains(spec, F.lit(",")), span).otherwise(listed)
 
 
 def slots(spec: Column) -> Column:
