@@ -43,7 +43,7 @@ class SketchConfig:
     rows: int = 6
     b: float = 1.1
     a: float = 20.0
-    small: int = 256
+    small: int = 32
     margin: float = 0.13
     block: int = 256
     block_shingles: int = 400_000
@@ -222,7 +222,8 @@ def _close_pairs(rows: DataFrame, nodes: DataFrame, cfg: SketchConfig) -> DataFr
     """a, b: pairs of a bucket with a close estimate, at least one of them an outlier.
 
     rows: key, id, outlier, o and i (the bucket's numbers of outliers and others). The buckets are
-    dealt into blocks and compared block by block; only close pairs leave a task.
+    dealt into blocks and compared block by block; of the close pairs, as many leave a task as
+    connect what they connect.
     """
     o, i = (F.ceil(F.col(c) / cfg.block).cast("int") for c in "oi")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("outlier"), o).otherwise(i)).cast("int") + F.when(F.col("outlier"), 0).otherwise(o))
@@ -243,7 +244,7 @@ def _close_pairs(rows: DataFrame, nodes: DataFrame, cfg: SketchConfig) -> DataFr
                 near = near[close >= cfg.percent / 100 - cfg.margin]
                 a += [ids[k]] * len(near)
                 b += ids[near].tolist()
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return pa.table(list(map(pa.array, forest(a, b), [pa.int64()] * 2)), ["a", "b"])
 
     return dealt.join(nodes.select("id", "n", "sketch"), "id").groupBy("key", "p", "q").applyInArrow(run, "a long, b long")
 
@@ -282,21 +283,50 @@ def _joined(label: DataFrame | None, more: DataFrame) -> DataFrame:
     return components(more if label is None else more.unionByName(label.select(F.col("component").alias("a"), F.col("id").alias("b"))))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """id, component (smallest id reachable) for every id of the edges a, b; alternating large-star and small-star."""
+def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """The components of some edges as edges from their smallest member."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        x, y = root(x), root(y)
+        parent[max(x, y)] = min(x, y)
+    ends = [x for x in parent if root(x) != x]
+    return [root(x) for x in ends], ends
+
+
+def components(edges: DataFrame, rounds: int = 60, block: int = 20_000) -> DataFrame:
+    """id, component (smallest id reachable) for every id of the edges a, b.
+
+    Blocks of edges are first thinned to forests, a task each; then large-star and small-star alternate.
+    """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
-    state = None
+
+    def thin(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for batch in it:
+            a += batch.column("a").to_pylist()
+            b += batch.column("b").to_pylist()
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, forest(a, b), [pa.int64()] * 2)), ["a", "b"])
+
+    edges = edges.repartition(edges.count() // block + 1).mapInArrow(thin, "a long, b long").distinct().checkpoint()
     for _ in range(rounds):
+        # Done when all are stars: each end has one center, and no center is an end.
+        ends = edges.select(F.col("b").alias("id"), F.lit(1).alias("end"), F.lit(0).alias("center"))
+        ends = ends.unionByName(edges.select(F.col("a").alias("id"), F.lit(0).alias("end"), F.lit(1).alias("center")))
+        if ends.groupBy("id").agg(F.sum("end").alias("end"), F.max("center").alias("center")).filter("end + center > 1").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("a", "b", "m")
         edges = small.select(F.col("m").alias("a"), "b").unionByName(small.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
     return roots.unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("component")))
 
