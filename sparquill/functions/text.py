@@ -97,7 +97,7 @@ def index_list(c: Column, n: Column, k: int) -> Column:
 
 def tenth_score(c: Column) -> Column:
     """The first whole number, 10 at most, over 10; 0 without one."""
-    return F.coalesce(F.least(F.regexp_extract(c, r"(\d+)", 1).try_cast("double"), F.lit(10.0)), F.lit(0.0)) / 10
+    return F.least(F.coalesce(F.regexp_extract(c, r"(\d+)", 1).try_cast("double"), F.lit(0.0)), F.lit(10.0)) / 10
 
 
 def clean_title(c: Column) -> Column:

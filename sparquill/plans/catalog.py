@@ -277,7 +277,7 @@ def retrieval_export(spark, sf_dir):
 
 @_query(r"""
 WITH n AS (SELECT event_id, list_filter(list_transform(regexp_extract_all(props, '\d+'), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x >= 1 AND x <= 50) AS v, regexp_extract(props, '(\d+)', 1) AS f FROM events)
-SELECT event_id, CASE WHEN len(v) > 0 THEN array_to_string(list_transform(v[1:3], lambda x: x - 1), ',') ELSE '0,1,2' END AS picks, coalesce(least(TRY_CAST(f AS DOUBLE), 10.0), 0.0) / 10 AS score FROM n""")
+SELECT event_id, CASE WHEN len(v) > 0 THEN array_to_string(list_transform(v[1:3], lambda x: x - 1), ',') ELSE '0,1,2' END AS picks, least(coalesce(TRY_CAST(f AS DOUBLE), 0.0), 10.0) / 10 AS score FROM n""")
 def parsed_choices(spark, sf_dir):
     rows = _t(spark, sf_dir, "events")
     return rows.select("event_id", F.array_join(X.index_list(F.col("props"), F.lit(50), 3).cast("array<string>"), ",").alias("picks"), X.tenth_score(F.col("props")).alias("score"))

@@ -30,8 +30,8 @@ SCHEMAS = {
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the schema; malformed lines are left out."""
     full = T.StructType.fromDDL(schema).add("__corrupt", "string")
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").json(path)
-    return rows.filter(F.col("__corrupt").isNull()).drop("__corrupt")
+    row = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    return spark.read.text(path).filter(F.trim("value") != "").select(row.alias("r")).select("r.*").filter(F.col("__corrupt").isNull()).drop("__corrupt")
 
 
 def dated_papers(spark: SparkSession, root: str, months: list[tuple[int, int]] | None = None, categories: list[str] | None = None) -> DataFrame:
