@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from sparquill.llm import chat, decontaminate, exact, minhash, packing, quality, queries, secrets, tokens, urls, wordpiece
 
@@ -134,6 +135,15 @@ def test_secret_ledger_scans_new_pairs_only(spark, tmp_path):
     assert pairs.count() == pairs.distinct().count() == 5 * len(secrets.RULES)  # null and empty are one blob
 
 
+def test_secrets_odd_rows(spark, docs, none):
+    own = docs.selectExpr("*", "'x' blob", "1 path")
+    got = secrets.scan_history(own, path_col="doc_id")
+    assert got.columns == ["path", "blob", "findings"] and got.count() == len(ODD)
+    assert secrets.scan_history(none, path_col="doc_id").count() == 0
+    long = spark.createDataFrame([(1, "x " * 200_000 + "token=abcdef"), (1, None)], "path long, text string")
+    assert sorted(r["s"] for r in secrets.scan_history(long).select(secrets.listed(F.col("findings")).alias("s")).collect()) == ["", "assign:400000:400012"]
+
+
 def brute_rule(host, path, rules):
     fits = [(len(h.split(".")), len(p), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fits)[3:] if fits else (None, "allow")
@@ -151,6 +161,15 @@ def test_url_rules(spark, monkeypatch):
     assert {r["page_id"]: tuple(r) for r in urls.judge(pages, rules).collect()} == {i: tuple(r) for i, r in got.items()}
 
 
+def test_url_odd_rows(spark):
+    found = [(1, None), (1, None), (None, "http://a.net/"), (2, "http://" + "a." * 50_000 + "net/" + "b/" * 50_000)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in found], "page_id long, url string, host string, rule string")
+    got = urls.judge(pages, queries.URL_RULES)
+    assert sorted(r["verdict"] for r in got.collect()) == ["allow", "allow", "block", "block"]
+    assert urls.judge(pages.limit(0), queries.URL_RULES).count() == 0
+    assert {r["verdict"] for r in urls.judge(pages, [], default="block").collect()} == {"block"}
+
+
 def test_exact(spark, docs, none):
     got = [r.asDict() for r in exact.exact_duplicates(docs).collect()]
     assert len(got) == len(ODD)
@@ -187,6 +206,14 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_chat_odd_rows(spark):
+    """Null ids and turns, repeated rows, a very long text and clashing columns."""
+    rows = [(None, 0, "user", "a", 9), (None, 0, "user", "a", 9), (1, None, "assistant", "#" * 300_000, 9), (1, 1, None, None, 9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.read_back(chat.format_conversations(turns)).collect()}
+    assert got == {None: (2, 0), 1: (2, 300_000)}
+
+
 def test_template_language():
     render = chat.compile_template("{% if 'a' == 'a' %}{{ 'x' | upper }}{% else %}no{% endif %}{% for t in turns %}{% if not t.role == 'u' and t.text %}{{ t.text | trim }};{% endif %}{% endfor %}")
     assert "".join(t for t, _ in render([{"role": "u", "text": "1"}, {"role": "a", "text": " 2 "}])) == "X2;"
