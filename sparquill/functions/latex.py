@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ PRIORITY = {"abstract": 0, "problem": 1, "method": 2, "implementation": 2, "eval
 
 _OPTION = r"\*?(?:\[[^\]]*\])?"
 _HEADING = r"\\(?:section|subsection|subsubsection|paragraph)\*?(?:\[[^\]]*\])?\{([^{}]{1,220})\}"
-_MARK = "\u0001"
+_MARK, _END = "\u0001", "\u0002"
 
 
 def without_comments(c: Column) -> Column:
@@ -67,41 +69,55 @@ def kind(heading: Column) -> Column:
     return out.otherwise("other")
 
 
+def _bound(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def sections(c: Column, name: Column, least: int = 120, least_whole: int = 200) -> Column:
     """An array of (heading, kind, text, order); a text without headings is one section under the given name."""
-    text = F.regexp_replace(prepared(c), _HEADING, f"{_MARK}$1{_MARK}")
-    parts = F.split(text, _MARK, -1)
-    count = ((F.size(parts) - 1) / 2).cast("int")
 
-    def section(i: Column) -> Column:
-        heading = F.regexp_replace(cleaned(F.element_at(parts, 2 * i)), r"^[ .:-]+|[ .:-]+$", "")
+    def section(part: Column, i: Column) -> Column:
+        pieces = F.split(part, _END, 2)
+        heading = F.regexp_replace(cleaned(pieces[0]), r"^[ .:-]+|[ .:-]+$", "")
         heading = F.when(heading == "", "Untitled").otherwise(heading)
-        return F.struct(heading.alias("heading"), kind(heading).alias("kind"), cleaned(F.element_at(parts, 2 * i + 1)).alias("text"), (i - 1).alias("order"))
+        return F.struct(heading.alias("heading"), cleaned(pieces[1]).alias("text"), i.alias("order"))
+
+    def kinds(s: Column) -> Column:
+        return F.struct(s["heading"].alias("heading"), kind(s["heading"]).alias("kind"), s["text"].alias("text"), s["order"].alias("order"))
+
+    def of(ready: Column) -> Column:
+        # What stands before the first heading is left out.
+        parts = F.split(F.regexp_replace(ready, _HEADING, f"{_MARK}$1{_END}"), _MARK, -1)
+        return F.transform(F.filter(F.transform(F.filter(parts, lambda p, i: i > 0), section), lambda s: F.length(s["text"]) >= least), kinds)
 
-    found = F.filter(F.transform(F.sequence(F.lit(1), count), section), lambda s: F.length(s["text"]) >= least)
-    whole = cleaned(prepared(c))
-    alone = F.array(F.struct(name.alias("heading"), F.lit("other").alias("kind"), whole.alias("text"), F.lit(0).alias("order")))
-    return F.when(count > 0, found).when(F.length(whole) >= least_whole, alone).otherwise(F.slice(alone, 1, 0))
+    def alone(whole: Column) -> Column:
+        one = F.array(F.struct(name.alias("heading"), F.lit("other").alias("kind"), whole.alias("text"), F.lit(0).alias("order")))
+        return F.when(F.length(whole) >= least_whole, one).otherwise(F.slice(one, 1, 0))
+
+    return _bound(prepared(c), lambda ready: F.when(F.regexp_like(ready, F.lit(_HEADING)), of(ready)).otherwise(_bound(cleaned(ready), alone)))
 
 
 def selected(items: Column, limit: int) -> Column:
     """Sections by kind and order until limit characters are used; each is cut, and left out if under 120 then remain."""
     cap = max(2500, min(6500, limit // 4))
-    rank = F.lit(9)
+
     def ranked(s: Column) -> Column:
         rank = F.when(F.lit(False), 0)
         for name, place in PRIORITY.items():
             rank = rank.when(s["kind"] == name, place)
         return F.struct(rank.otherwise(9).alias("rank"), s["order"].alias("order"), s["heading"].alias("heading"), s["kind"].alias("kind"), s["text"].alias("text"))
 
-    del rank
     kept = "array<struct<heading:string,kind:string,text:string>>"
 
     def step(state: Column, s: Column) -> Column:
         room = F.least(F.lit(cap), F.lit(limit) - state["used"])
-        text = strip(F.left(s["text"], F.greatest(room, F.lit(0))))
-        more = F.struct((state["used"] + F.length(text)).alias("used"), F.concat(state["out"], F.array(F.struct(s["heading"].alias("heading"), s["kind"].alias("kind"), text.alias("text")))).alias("out"))
-        return F.when(F.length(text) < 120, state).otherwise(more)
+
+        def add(text: Column) -> Column:
+            more = F.struct((state["used"] + F.length(text)).alias("used"), F.concat(state["out"], F.array(F.struct(s["heading"].alias("heading"), s["kind"].alias("kind"), text.alias("text")))).alias("out"))
+            return F.when(F.length(text) < 120, state).otherwise(more)
+
+        return _bound(strip(F.left(s["text"], F.greatest(room, F.lit(0)))), add)
 
     start = F.struct(F.lit(0).alias("used"), F.array().cast(kept).alias("out"))
     return F.aggregate(F.array_sort(F.transform(items, ranked)), start, step)["out"]
