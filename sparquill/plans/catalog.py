@@ -31,6 +31,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents with the given columns, for costly work on each text."""
+    return tables.spread(_t(spark, sf_dir, "documents").select(*columns))
+
+
 # --- Overlap and retrieval -------------------------------------------------------------------------
 
 
@@ -46,7 +51,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, item_id)
 SELECT x.doc_id, r.item_id, round(coalesce(r.s, 0.0), 6) AS similarity, coalesce(r.s, 0.0) > 0.85 AS flagged
 FROM documents x LEFT JOIN r ON r.doc_id = x.doc_id AND k = 1""")
 def overlap_screen(spark, sf_dir):
-    out = overlap.closest(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+    out = overlap.closest(_texts(spark, sf_dir, "doc_id", "text"), _t(spark, sf_dir, "benchmark"))
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -54,7 +59,7 @@ def overlap_screen(spark, sf_dir):
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents)
 SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY token""")
 def term_frequency(spark, sf_dir):
-    terms = overlap.term_counts(_t(spark, sf_dir, "documents"), "doc_id", "text")
+    terms = overlap.term_counts(_texts(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
     return terms.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
@@ -205,7 +210,7 @@ SELECT doc_id, CASE WHEN b = '' THEN '(no abstract available)' WHEN length(b) <=
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS b FROM documents) LEFT JOIN c ON k = md5(b)""".replace("\\\\", "\\"))
 def short_texts(spark, sf_dir):
     cache = _t(spark, sf_dir, "benchmark").groupBy(F.md5("text").alias("key")).agg(F.min(F.concat(F.lit("cached "), F.col("item_id").cast("string"))).alias("value"))
-    rows = _t(spark, sf_dir, "documents").join(cache, F.md5(X.strip(F.coalesce("text", F.lit("")))) == F.col("key"), "left")
+    rows = _texts(spark, sf_dir, "doc_id", "text").join(cache, F.md5(X.strip(F.coalesce("text", F.lit("")))) == F.col("key"), "left")
     return rows.select("doc_id", X.short_text(F.col("text"), F.col("value")).alias("short"))
 
 
@@ -223,14 +228,14 @@ SELECT doc_id, CASE WHEN instr(text, '. ') > 0 THEN substr(text, 1, instr(text,
     regexp_replace(regexp_replace('2024. , ' || substr(text, 1, 40), '^\s*\d{4}\s*\.\s*', ''), '^[\s.,;:]+', '') AS title FROM documents""")
 def marked_texts(spark, sf_dir):
     head = F.concat(F.lit("2024. , "), F.left("text", F.lit(40)))
-    return _t(spark, sf_dir, "documents").select("doc_id", X.insert_before(F.col("text"), ". ", F.lit("[mark]")).alias("marked"), X.clean_title(head).alias("title"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", X.insert_before(F.col("text"), ". ", F.lit("[mark]")).alias("marked"), X.clean_title(head).alias("title"))
 
 
 def _tex(spark, sf_dir):
     """Documents as LaTeX sources: their lines become sections, words after commas become commands."""
     body = F.regexp_replace("text", r"\n", "\n\\\\section{Method \\\\textbf{notes}}\n")
     body = F.regexp_replace(body, r", (\w+)", r" \\\\cite{$1} \\\\emph{\\\\textbf{$1}}, $1~x")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("\\begin{abstract}\n"), body, F.lit(" % note\n\\end{abstract}\n")).alias("tex"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.concat(F.lit("\\begin{abstract}\n"), body, F.lit(" % note\n\\end{abstract}\n")).alias("tex"))
 
 
 @_query()
@@ -248,7 +253,7 @@ def latex_selection(spark, sf_dir):
 @_query(r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word_count, contains(text, '<a>') AND contains(text, '</a>') AS has_all_tags,
     regexp_matches(lower(text), 'implement|train|dataset|algorithm|baseline|metric') AS implementation, regexp_matches(lower(text), 'evaluate|baseline|ablation|metric|benchmark') AS evaluation FROM documents""")
 def text_quality(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", X.quality(F.col("text"), ("a",)).alias("q")).select("doc_id", "q.*")
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", X.quality(F.col("text"), ("a",)).alias("q")).select("doc_id", "q.*")
 
 
 @_query("""

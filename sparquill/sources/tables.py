@@ -27,6 +27,15 @@ SCHEMAS = {
 }
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a table's scan over all cores, for costly work on each row.
+
+    A scan with as many partitions as cores is left as it is. One with fewer, such as a single small file, is dealt out.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the schema; malformed lines are left out."""
     full = T.StructType.fromDDL(schema).add("__corrupt", "string")
