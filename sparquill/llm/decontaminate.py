@@ -23,19 +23,26 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 33 <= c <= 47 or 58 <= c <= 64
 
 @dataclass(frozen=True)
 class SeedConfig:
-    """masks: 1 looks at a word, 0 ignores it. An overlap is window aligned words of which matches are equal.
+    """masks: 1 looks at a word, 0 ignores it; short_masks also apply to items shorter than window. However the
+    unequal words of an overlap are placed, one of these masks hits it. An overlap is window aligned words of which matches are equal.
 
     An item shorter than window must match as a whole, with the same share of equal words; items
     of fewer than shortest words are left out. block_bytes bounds the benchmark text sent to tasks
     at once: a larger benchmark is taken in several blocks, each against all documents.
     """
 
-    masks: tuple[str, ...] = ("1101100101", "1011010011", "111111")
+    masks: tuple[str, ...] = ("11101011", "110100111", "1110001011", "1111011", "10100001111")
+    short_masks: tuple[str, ...] = ("11011",)
     window: int = 13
     matches: int = 10
     shortest: int = 5
     block_bytes: int = 8_000_000
 
+    def places(self, n: int) -> set[tuple[int, ...]]:
+        """The places that the masks of an item of n words look at; short items cut the masks to their length."""
+        masks = self.masks if n >= self.window else self.masks + self.short_masks
+        return {tuple(k for k in range(min(len(m), n)) if m[k] == "1") for m in masks}
+
 
 def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     return C.word_hashes(t.translate(_PLAIN) for t in texts)
@@ -59,10 +66,9 @@ class Benchmark:
         items = [words[a:b] for words, bounds in words_of(texts) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         used = [(i, w) for i, w in zip(ids, items, strict=True) if len(w) >= cfg.shortest]
         self.ids, self.items = [i for i, _ in used], [w for _, w in used]
-        # Short items cut the masks to their length.
-        sizes = {min(len(w), len(m)) for w in self.items for m in cfg.masks}
-        self.masks = sorted({places for m in cfg.masks for s in sizes if (places := tuple(k for k in range(min(len(m), s)) if m[k] == "1"))})
-        seeds = [(_seeds(w, m, k), item) for item, w in enumerate(self.items) for k, m in enumerate(self.masks)]
+        self.masks = sorted({m for n in set(map(len, self.items)) for m in cfg.places(n)})
+        number = {m: k for k, m in enumerate(self.masks)}
+        seeds = [(_seeds(w, m, number[m]), item) for item, w in enumerate(self.items) for m in sorted(cfg.places(len(w)))]
         hashes = np.concatenate([s for s, _ in seeds] or [np.zeros(0, C.U64)])
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from . import chat, decontaminate, exact, minhash, packing, quality, secrets, tokens, urls, wordpiece
 from . import common as C
 
@@ -18,12 +19,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     found = secrets.scan_history(docs.select(F.col("doc_id").alias("path"), "text"))
     base = F.filter("findings", lambda x: x["rank"] < len(secrets.BASE))
     counts = [F.size(F.expr(f"filter(findings, x -> x.kind = '{r.kind}')")).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
@@ -35,7 +40,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+    return exact.exact_duplicates(_documents(spark, sf_dir))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,20 +52,20 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = C.materialize(packing.pack_best_fit(_table(spark, sf_dir, "documents"), tokens.default_path()), "packed", compression="zstd")
+    packed = C.materialize(packing.pack_best_fit(_documents(spark, sf_dir), tokens.default_path()), "packed", compression="zstd")
     return packed.select("sequence_id", "doc_ids", "starts", "cu_seqlens", "position_resets", F.element_at("cu_seqlens", -1).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), tokens.default_path())
+    return wordpiece.token_counts(_documents(spark, sf_dir), tokens.default_path())
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.classify(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     def checksum(ids):
         return ids.map(lambda b: packing.crc32_of(b, width)).astype("int64")
 
-    pieces = packing.concat_and_cut(_table(spark, sf_dir, "documents"), path)
+    pieces = packing.concat_and_cut(_documents(spark, sf_dir), path)
     return pieces.select("doc_id", "start", "length", checksum("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

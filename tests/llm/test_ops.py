@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -326,6 +327,15 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == decontaminate.contaminated(none, bench).count() == 0
 
 
+def test_masks_hit_every_overlap():
+    cfg = decontaminate.SeedConfig()
+    for n in range(cfg.shortest, cfg.window + 1):
+        unequal = n - -(-n * cfg.matches // cfg.window)
+        masks = cfg.places(n)
+        for gone in itertools.combinations(range(n), unequal):
+            assert any(all(at + k not in gone for k in m) for m in masks for at in range(n - m[-1]))
+
+
 def test_quality(spark, docs, none):
     out = queries.op9_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pandas()
