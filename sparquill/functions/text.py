@@ -30,7 +30,7 @@ def strip(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-cased words of letters, digits and underscores in any script."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def counts(tokens: Column) -> Column:

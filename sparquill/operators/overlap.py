@@ -12,8 +12,11 @@ BROADCAST_CHARS = 50_000_000
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token, n for every word of every text."""
-    return rows.select(key, F.explode(words(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    """key, token, n for every word of every text.
+
+    The filter drops nothing: with it, plans that join on the words and plans that do not share one shuffle.
+    """
+    return rows.select(key, F.explode(words(F.col(text))).alias("token")).filter(F.col("token").isNotNull()).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
 def closest(rows: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
