@@ -395,7 +395,7 @@ def log_metrics(spark, sf_dir):
         .when(F.col("event_id") % 3 == 1, F.concat(F.lit("step:"), n, F.lit(" - critic/rewards/mean:"), v, F.lit(" - x:1")))
         .otherwise(F.concat(F.lit("\u001b[32m 5% | "), n, F.lit("/99 [00:01] {'loss': "), v, F.lit(", 'grad': nan, 'lr': None}\r")))
     )
-    rows = _t(spark, sf_dir, "events").select("event_id", runs.plain_line(line).alias("line"))
+    rows = tables.spread(_t(spark, sf_dir, "events")).select("event_id", runs.plain_line(line).alias("line"))
     return rows.select("event_id", runs.reward(F.col("line")).alias("reward"), runs.loss(F.col("line")).alias("loss"), runs.progress(F.col("line"))["step"].alias("step"))
 
 
