@@ -110,7 +110,7 @@ def similarity(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, c
 
 
 def sketch(docs: DataFrame, cfg: SketchConfig = SketchConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), digest (of the set), sketch (registers; both null for empty sets), a row for each input row."""
+    """doc_id, mark (hash of the text), n (set size), digest (of the set), sketch (registers; both null for empty sets), a row for each input row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(it, 128):
@@ -120,15 +120,16 @@ def sketch(docs: DataFrame, cfg: SketchConfig = SketchConfig(), id_col: str = "d
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n", "digest", "sketch"],
+                ["doc_id", "mark", "n", "digest", "sketch"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, n long, digest binary, sketch binary")
 
 
 def _bands(nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
@@ -196,24 +197,28 @@ def _block_links(table: pa.Table, cfg: SketchConfig) -> tuple[list[int], list[in
     return a, b
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, label: DataFrame, cfg: SketchConfig) -> DataFrame:
-    """a, b: links between documents of a group (label: id, component) that keep all that are linked connected.
+def confirmed(docs: DataFrame, nodes: DataFrame, label: DataFrame, cfg: SketchConfig, repeats: bool = True) -> DataFrame:
+    """a, b: links between doc_ids by the nodes (id, doc_id, mark, n) of a group (label: id, component) that keep all that are linked connected.
 
+    A node's text is the one with its doc_id and mark; where rows may repeat both, repeats keeps one of them.
     All members of a group are compared by their full sets. A group beyond the size of a block is dealt
     into blocks, and each pair of blocks is a group of its own, so no task holds more than two blocks.
     """
-    sized = label.join(nodes.select("id", "n"), "id")
+    sized = label.join(nodes.select("id", "doc_id", "mark", "n"), "id")
     groups = sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     blocks = F.ceil(F.greatest(F.col("size") / cfg.block, F.col("total") / cfg.block_shingles)).cast("int").alias("blocks")
     dealt = sized.join(groups.select("component", blocks), "component").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.select("id", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = C.materialize(dealt.select("id", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")), "blocks")
-    ids = dealt.select("id").distinct()
+    ids = sized.select("id", "doc_id", "mark")
     few = label.count() <= cfg.broadcast_ids
-    texts = C.materialize(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi"), "texts")
+    texts = docs.withColumn("mark", F.xxhash64("text")).join(F.broadcast(ids) if few else ids, ["doc_id", "mark"]).select("id", "doc_id", "text")
+    texts = C.materialize(texts.dropDuplicates(["id"]) if repeats else texts, "texts")
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.table(list(map(pa.array, _block_links(table, cfg), [pa.int64()] * 2)), ["a", "b"])
+        doc = dict(zip(table.column("id").to_pylist(), table.column("doc_id").to_pylist(), strict=True))
+        a, b = ([doc[x] for x in side] for side in _block_links(table, cfg))
+        return pa.table(list(map(pa.array, (a, b), [pa.int64()] * 2)), ["a", "b"])
 
     return dealt.join(texts, "id").groupBy("component", "i", "j").applyInArrow(run, "a long, b long").filter("a <> b")
 
@@ -341,12 +346,14 @@ def near_duplicates(docs: DataFrame, cfg: SketchConfig = SketchConfig(), id_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = C.materialize(sketch(docs, cfg), "sketch")
     named = sets.filter("n > 0 and doc_id is not null")
-    groups = C.materialize(named.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r")).select("digest", "r.*"), "groups")
-    nodes = groups.select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
-    label = components(confirmed(docs, nodes, candidate_groups(nodes, cfg), cfg))
-    # Copies hang on their representative; only ids repeated over several sets need them as links.
+    groups = named.groupBy("digest").agg(F.min(F.struct("doc_id", "mark", "n", "sketch")).alias("r")).select("digest", "r.*")
+    # A node is a distinct set, not a doc_id, which may stand for several sets; links between nodes are then links between doc_ids.
+    groups = C.materialize(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
     repeated = C.materialize(named.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("b")), "repeated")
-    if not repeated.isEmpty():
+    repeats = not repeated.isEmpty()
+    label = components(confirmed(docs, groups, candidate_groups(groups, cfg), cfg, repeats))
+    # Copies hang on their representative; only ids repeated over several sets need them as links.
+    if repeats:
         copies = named.join(groups.select("digest", F.col("doc_id").alias("a")), "digest").select("a", F.col("doc_id").alias("b")).filter("a <> b")
         label = _joined(label, copies.join(repeated, "b", "left_semi").select("a", "b"))
     heads = groups.select("digest", "doc_id").join(label, F.col("doc_id") == F.col("id"), "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))

@@ -85,6 +85,16 @@ def test_minhash_crowds_in_blocks(spark):
     assert got == groups({i: shingles(t) for i, t in rows})
 
 
+def test_minhash_one_id_on_two_texts(spark):
+    """Each text of a repeated id keeps its links, and the id joins them."""
+    rng = random.Random(7)
+    a, b, c = ([f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(3))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (8, edited(rng, a, 1)), (9, edited(rng, b, 1)), (7, " ".join(c)), (11, " ".join(c)), (11, edited(rng, b, 1))]
+    for cfg in (minhash.SketchConfig(), minhash.SketchConfig(small=0, block=2)):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), cfg).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == sorted((i, 5, i == 5) for i, _ in rows)
+
+
 def test_minhash_odd_rows(spark, docs, none):
     assert minhash.near_duplicates(docs).count() == len(ODD)
     assert minhash.near_duplicates(none).count() == 0
