@@ -259,10 +259,19 @@ def text_quality(spark, sf_dir):
 @_query("""
 SELECT conv_id, string_agg(role || ':' || md5(text), ',' ORDER BY turn) AS messages, count(*) FILTER (role = 'assistant') AS answers FROM conversations GROUP BY conv_id""")
 def chat_messages(spark, sf_dir):
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("m"))
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.md5("text").alias("digest")).alias("m"))
     rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
     answers = F.size(F.filter("messages", lambda m: m["role"] == "assistant")).cast("long")
-    return rows.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], F.md5(m["text"]))), ",").alias("messages"), answers.alias("answers"))
+    return rows.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["digest"])), ",").alias("messages"), answers.alias("answers"))
+
+
+@_query("""
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) AS place, turn, role, md5(text) AS digest FROM conversations""")
+def chat_message_rows(spark, sf_dir):
+    """The messages of chat_messages as rows, for conversations beyond one row: a task sorts each conversation's digests, on disk if need be."""
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "digest"))
+    return rows.select("conv_id", place.cast("long").alias("place"), "turn", "role", "digest")
 
 
 @_query("""SELECT 'system' AS role1, lang AS content1, 'user' AS role2, md5(text) AS content2, 'assistant' AS role3, source AS content3, doc_id

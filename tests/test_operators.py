@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 import pytest
 from conftest import SF
@@ -37,6 +39,19 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(tuple(map(plain, r)) for r in df.collect()) == want
 
 
+def test_chat_messages_collects_no_text(spark, tmp_path):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    df = entry.queries()["chat_messages"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.splitlines() if "Aggregate" in line and "md5" in line] == []
+    assert "collect_list(m" in plan and [line for line in plan.splitlines() if "Project" in line and "md5" in line and "AS m#" in line]
+    md5 = {t: hashlib.md5(t.encode()).hexdigest() for t in "ab"}
+    assert {r["conv_id"]: r["messages"] for r in df.collect()}[1] == f"user:{md5['a']},assistant:{md5['b']}"
+    places = entry.queries()["chat_message_rows"](spark, str(tmp_path)).orderBy("conv_id", "place").collect()
+    assert [(r["conv_id"], r["place"], r["role"]) for r in places] == [(1, 1, "user"), (1, 2, "assistant"), (2, 1, "user")]
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 200
 
