@@ -352,6 +352,14 @@ def strategy_pivot(spark, sf_dir):
     return rows.filter(F.col("event_type").isNotNull()).groupBy("label").pivot("event_type", ["purchase", "error"]).agg(cell)
 
 
+@_query("""
+SELECT user_id % 10 AS label, event_type, count(*) FILTER (value > 50) || '/' || count(*) AS cell FROM events GROUP BY 1, 2""")
+def strategy_cells(spark, sf_dir):
+    """The cells of strategy_pivot for every event type, in long form."""
+    cell = F.concat(F.count_if(F.col("value") > 50).cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string"))
+    return _t(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("label"), "event_type").agg(cell.alias("cell"))
+
+
 @_query("""
 WITH k AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type = 'view' AND value IS NOT NULL),
 m AS (SELECT user_id, avg(value) AS v FROM k WHERE n <= 5 GROUP BY user_id)

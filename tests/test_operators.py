@@ -52,6 +52,13 @@ def test_chat_messages_collects_no_text(spark, tmp_path):
     assert [(r["conv_id"], r["place"], r["role"]) for r in places] == [(1, 1, "user"), (1, 2, "assistant"), (2, 1, "user")]
 
 
+def test_strategy_cells_count_every_event(spark):
+    cells = entry.queries()["strategy_cells"](spark, SF).collect()
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    assert {r["event_type"] for r in cells} == {r[0] for r in events.select("event_type").distinct().collect()}
+    assert sum(int(r["cell"].split("/")[1]) for r in cells) == events.count()
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 200
 
