@@ -157,6 +157,26 @@ def pinned_references(spark, sf_dir):
     return rows.select("paper", F.array_join(F.transform(chosen, lambda r: r["id"].cast("string")), ",").alias("refs"))
 
 
+@_query(_REFS + """, k AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY pos, ref, title, abstract, year) AS i FROM j JOIN g USING (paper))
+SELECT paper, string_agg('[' || i || '] ' || title || ' (' || year || ')' || chr(10) || 'Abstract: ' || abstract, chr(10) || chr(10) ORDER BY i) FILTER (i <= 40) AS ref_block,
+    'Below are ' || least(40, max(n)) || ' entries.' AS prompt FROM k GROUP BY paper""")
+def prompt_records_40(spark, sf_dir):
+    """prompt_records with the survey's limit of 40 references."""
+    rows = _references(spark, sf_dir, 3)
+    head = prompts.fill("Below are {n} entries.", n=F.least(F.size("refs"), F.lit(40)))
+    return rows.select("paper", prompts.reference_block(F.col("refs"), 40).alias("ref_block"), head.alias("prompt"))
+
+
+@_query(_REFS + """, k AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY pos, ref, title, abstract, year) AS i FROM j JOIN g USING (paper)),
+o AS (SELECT paper, ref, pos, CASE WHEN i <= 2 THEN 0 ELSE 1 END AS grp, CASE WHEN i <= 2 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE md5('42|' || ref) END AS o FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY grp, o, pos, ref) AS place FROM o)
+SELECT paper, string_agg(CAST(ref AS VARCHAR), ',' ORDER BY place) AS refs FROM r WHERE place <= 40 GROUP BY paper""")
+def pinned_references_40(spark, sf_dir):
+    """pinned_references with the survey's limit of 40 references."""
+    chosen = relational.pinned(F.col("refs"), 2, 40)
+    return _references(spark, sf_dir, 3).select("paper", F.array_join(F.transform(chosen, lambda r: r["id"].cast("string")), ",").alias("refs"))
+
+
 @_query("""
 WITH s AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey <= 5),
 r AS (SELECT o_custkey AS id, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey)
@@ -246,7 +266,7 @@ def latex_sections(spark, sf_dir):
 
 @_query()
 def latex_selection(spark, sf_dir):
-    kept = latex.selected(latex.sections(F.col("tex"), F.lit("main.tex")), 6000)
+    kept = latex.selected(latex.sections(F.col("tex"), F.lit("main.tex")), 24_000)
     return _tex(spark, sf_dir).select("doc_id", kept.alias("kept")).select("doc_id", F.size("kept").alias("n"), F.aggregate("kept", F.lit(0), lambda s, x: s + F.length(x["text"])).alias("chars"))
 
 

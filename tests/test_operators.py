@@ -59,6 +59,19 @@ def test_strategy_cells_count_every_event(spark):
     assert sum(int(r["cell"].split("/")[1]) for r in cells) == events.count()
 
 
+def test_latex_selection_keeps_long_sections(spark, tmp_path):
+    spark.createDataFrame([(1, "word " * 1000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert entry.queries()["latex_selection"](spark, str(tmp_path)).first()["chars"] > 4900
+
+
+def test_longest_reference_lists_are_whole(spark):
+    most = max(r["n"] for r in entry.queries()["resolve_references"](spark, SF).groupBy("paper").agg(F.count("*").alias("n")).collect())
+    assert 4 < most <= 40
+    longest = entry.queries()["prompt_records_40"](spark, SF).select(F.max(F.size(F.split("ref_block", "\n\n"))), F.max("prompt")).first()
+    assert longest[0] == most
+    assert entry.queries()["pinned_references_40"](spark, SF).select(F.max(F.size(F.split("refs", ",")))).first()[0] == most
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 200
 
