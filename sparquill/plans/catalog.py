@@ -221,6 +221,12 @@ def seeded_shuffle(spark, sf_dir):
     return _t(spark, sf_dir, "documents").filter("lang = 'es'").select("doc_id", prompts.seeded_order(F.col("doc_id"), 7).alias("place"))
 
 
+@_query("""SELECT doc_id, lang, md5('7|' || doc_id) AS place FROM documents""")
+def seeded_shuffle_splits(spark, sf_dir):
+    """seeded_shuffle for every document, lang being the split to shuffle within."""
+    return _t(spark, sf_dir, "documents").select("doc_id", "lang", prompts.seeded_order(F.col("doc_id"), 7).alias("place"))
+
+
 # --- Text shaping ----------------------------------------------------------------------------------
 
 

@@ -72,6 +72,11 @@ def test_longest_reference_lists_are_whole(spark):
     assert entry.queries()["pinned_references_40"](spark, SF).select(F.max(F.size(F.split("refs", ",")))).first()[0] == most
 
 
+def test_seeded_shuffle_places_every_document(spark):
+    rows = entry.queries()["seeded_shuffle_splits"](spark, SF)
+    assert rows.filter("place IS NOT NULL").count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 200
 
