@@ -1,14 +1,21 @@
-"""Helpers shared by the training-data operators: scratch tables, Arrow batches and word hashes."""
+"""Helpers shared by the training-data operators: scratch tables, row places, joins, Arrow batches and word hashes."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import spread
 
 #: The white space of the contracts: space and the control characters 9 to 13.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -19,10 +26,14 @@ _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a local master gets one for its own lifetime; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-scratch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -38,6 +49,74 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, or a longer one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: What tells the rows of a table apart: a hash of the file's path and the row's number in the file.
+PLACE = "struct<file:long,at:long>"
+
+
+def placed(docs: DataFrame, scan: bool) -> tuple[DataFrame, str]:
+    """docs with a column of type PLACE that no two rows share, and the column's name.
+
+    With scan, docs is a table as it is read from Parquet files; any other table is written first.
+    """
+    name = free_name(docs.columns, "place")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name)
+    if scan:
+        try:
+            return spread(docs.select("*", place)), name
+        except AnalysisException:  # not read from files after all
+            pass
+    return spread(materialize(docs, "rows").select("*", place)), name
+
+
+def without(rows: DataFrame, place: str, gone: DataFrame, limit: int = 300_000) -> DataFrame:
+    """The rows whose place is not in gone (one column); gone is sent to all tasks if it has few rows, else both sides are shuffled."""
+    gone = materialize(gone.toDF("gone"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= limit else gone
+    return rows.join(gone, quoted(place) == F.col("gone"), "left_anti").drop(place)
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of groups, which has a row for each key and the number of rows with that key as size.
+
+    Keys with very many rows would meet in one task; they are sent to all tasks instead: 50,000 keys at
+    most, as each has over 1/50,000 of the total. groups is a written table.
+    """
+    limit = max(1000, total // 50_000)
+    hot = groups.filter(F.col(size) > limit)
+    if hot.isEmpty():
+        return rows.join(groups, key, how)
+    own = [c for c in groups.columns if c != key]
+    most = hot.select(F.col(key).alias("__key"), F.struct(*own).alias("__hot"))
+    rest = groups.filter(F.col(size) <= limit).select(F.col(key).alias("__rest"), F.lit(0).alias("__none"), F.struct(*own).alias("__cold"))
+    dealt = F.when(F.col("__key").isNotNull(), 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(4096)).cast("int")).otherwise(0)
+    out = rows.join(F.broadcast(most), F.col(key) == F.col("__key"), "left").withColumn("__salt", dealt)
+    out = out.join(rest, (F.col(key) == F.col("__rest")) & (F.col("__salt") == F.col("__none")), "left").withColumn("__own", F.coalesce("__hot", "__cold"))
+    out = out.filter(F.col("__own").isNotNull()) if how == "inner" else out
+    return out.select(*rows.columns, *(F.col(f"__own.{c}").alias(c) for c in own))
+
+
+def join_salted(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", share: int = 4096) -> DataFrame:
+    """rows with the columns of table (a row for each key); the rows of one key are dealt into shares of about share rows where one key may have all of the total."""
+    salts = total // share
+    if salts < 2:
+        return rows.join(table, key, how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    return salted.join(salted.select(key, "__salt").distinct().join(table, key, how), [key, "__salt"], how).drop("__salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of unsigned 64-bit integers."""
     x = x ^ (x >> U64(30))

@@ -7,11 +7,11 @@ registers, and two registers agree more often the more two sets overlap. Bands o
 propose candidates, the joint likelihood of the two register vectors rejects most false
 ones, and the full sets decide.
 
-Large groups need no pairs within. Equal sets are one node. A bucket is first compared with its
-leader alone, which joins most of its members into groups; only members outside of their leader's
-group are compared further, in blocks of bounded size that emit close pairs alone. Within the
-groups so found, the full sets are compared in such blocks too, and a block emits no more links
-than connect what is linked.
+Large groups need no pairs within. Equal sets are one node. Every member of a bucket is compared
+with the bucket's leader: first with its likeliest leader alone, which connects most of a group by
+one comparison a member, then with those leaders whose group it is not yet in. Only what two
+members outside of one group, neither of them a leader, may still have in common is compared further,
+in blocks of bounded size that emit no more links than connect what is linked.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ class SketchConfig:
     """shingle words a shingle; links need inter/union >= percent/100; bands x rows registers of base b.
 
     With 70 bands of 6 registers, a pair at similarity 0.75 shares no band with probability 3e-7.
-    margin is six standard deviations of the estimated similarity. Buckets with up to small open pairs are
-    compared pair by pair, larger ones in blocks of block members (and, for full sets, block_shingles).
+    margin is six standard deviations of the estimated similarity. A leader is compared with about star members
+    in one go. What leaders leave open is compared pair by pair in buckets of up to small open pairs, in larger
+    ones in blocks of block members (and, for full sets, block_shingles).
     """
 
     shingle: int = 5
@@ -45,8 +46,9 @@ class SketchConfig:
     a: float = 20.0
     small: int = 32
     margin: float = 0.13
-    block: int = 256
-    block_shingles: int = 400_000
+    star: int = 64
+    block: int = 1024
+    block_shingles: int = 1_000_000
     broadcast_ids: int = 200_000
 
     @property
@@ -109,27 +111,26 @@ def similarity(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, c
     return (lo + hi) / 2
 
 
-def sketch(docs: DataFrame, cfg: SketchConfig = SketchConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark (hash of the text), n (set size), digest (of the set), sketch (registers; both null for empty sets), a row for each input row."""
+def sketch(rows: DataFrame, cfg: SketchConfig = SketchConfig()) -> DataFrame:
+    """place, doc_id, n (set size), digest (of the set), sketch (registers; both null for empty sets) for every row of place, doc_id, text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(it, 128):
-            sets = list(shingle_sets(C.text_bytes(batch.column(1)), cfg.shingle))
+            sets = list(shingle_sets(C.text_bytes(batch.column("text")), cfg.shingle))
             full = [s for s in sets if len(s)]
             regs = iter(registers(full, cfg) if full else ())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(2),
+                    batch.column("place"),
+                    batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "mark", "n", "digest", "sketch"],
+                ["place", "doc_id", "n", "digest", "sketch"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, digest binary, sketch binary")
+    return rows.select("place", "doc_id", "text").mapInArrow(run, f"place {C.PLACE}, doc_id long, n long, digest binary, sketch binary")
 
 
 def _bands(nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
@@ -148,21 +149,82 @@ def _bands(nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
     return nodes.select("id", "sketch").mapInArrow(run, "id long, key long")
 
 
-def _estimate(pairs: DataFrame, nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
-    """a, b, est, close (both estimate and sizes allow a link) for pairs a, b of nodes."""
-    left = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ra"))
-    right = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("rb"))
+def buckets(nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """key, a, b: a row for each member b of each bucket of two or more nodes; a is the bucket's smallest id, its leader."""
+    rows = _bands(nodes, cfg)
+    leaders = C.materialize(rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).filter("size > 1"), "leaders")
+    found = C.join_counted(rows, leaders, "key", "size", nodes.count() * cfg.bands)
+    return C.materialize(found.select("key", "a", F.col("id").alias("b")), "buckets")
+
+
+def _stars(pairs: DataFrame, total: int, size: int) -> DataFrame:
+    """a, s, side, id: the pairs a, b (total at most) as members (side 1, id = b) of their center's shares s, and the center itself (side 0) once a share.
+
+    A share has about size members at most however many a center has, so there are at most twice as many rows as pairs.
+    """
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(max(1, total // size))).cast("int").alias("s"))
+    centers = salted.select("a", "s").distinct().select("a", "s", F.lit(0).alias("side"), F.col("a").alias("id"))
+    return centers.unionByName(salted.select("a", "s", F.lit(1).alias("side"), F.col("b").alias("id")))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Each share's rows one after the other, the center first."""
+    return rows.repartition("a", "s").sortWithinPartitions("a", "s", "side")
+
+
+def estimated(pairs: DataFrame, total: int, nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """a, b, est: those of the pairs a, b (total at most) of nodes whose sizes and estimated similarity allow a link."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.batches(it, 8192):
-            ra, rb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, cfg.m) for k in ("ra", "rb"))
-            na, nb = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in ("na", "nb"))
-            est = similarity(ra, rb, na, nb, cfg)
-            close = (est >= cfg.percent / 100 - cfg.margin) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * cfg.percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est), pa.array(close)], ["a", "b", "est", "close"])
+        last, last_n = np.zeros((1, cfg.m), np.uint8), 1.0
+        for batch in C.batches(it, 4096):
+            regs = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, cfg.m)
+            n, side = batch.column("n").to_numpy(zero_copy_only=False).astype(float), batch.column("side").to_numpy(zero_copy_only=False)
+            center = np.maximum.accumulate(np.where(side == 0, np.arange(1, len(side) + 1), 0))  # 0: the last of the batch before
+            regs_, n_ = np.concatenate((last, regs)), np.concatenate(([last_n], n))
+            last, last_n = regs_[center[-1]][None, :], n_[center[-1]]
+            own = np.flatnonzero(side == 1)
+            own = own[np.minimum(n[own], n_[center[own]]) * 100 >= np.maximum(n[own], n_[center[own]]) * cfg.percent]
+            est = similarity(regs_[center[own]], regs[own], n_[center[own]], n[own], cfg)
+            good = est >= cfg.percent / 100 - cfg.margin
+            kept = pa.array(own[good])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("id").take(kept), pa.array(est[good])], ["a", "b", "est"])
+
+    rows = _stars(pairs, total, 16 * cfg.star).join(nodes.select("id", "n", "sketch"), "id")
+    return _in_order(rows).mapInArrow(run, "a long, b long, est double")
 
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ra", "rb")
-    return rows.mapInArrow(run, "a long, b long, est double, close boolean")
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
+def _with_texts(rows: DataFrame, total: int, docs: DataFrame, nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """rows (total at most, with id, a node) and the node's text; docs: place, text."""
+    at = rows.join(nodes.select("id", "place"), "id")
+    return docs.select("place", "text").join(F.broadcast(at) if total <= cfg.broadcast_ids else at, "place").drop("place")
+
+
+def confirmed(pairs: DataFrame, total: int, docs: DataFrame, nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """a, b: those of the pairs (total at most) of nodes that the full sets link; each text moves once a pair, a center's also once a share."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center = np.zeros(0, C.U64)
+        for batch in C.batches(it, 64):
+            sets = shingle_sets(C.text_bytes(batch.column("text")), cfg.shingle)
+            good = []
+            for k, (side, own) in enumerate(zip(batch.column("side").to_pylist(), sets, strict=True)):
+                if side == 0:
+                    center = own
+                elif min(len(own), len(center)) * 100 >= max(len(own), len(center)) * cfg.percent:
+                    both = _common(center, own)
+                    if both * 100 >= (len(center) + len(own) - both) * cfg.percent:
+                        good.append(k)
+            kept = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("id").take(kept)], ["a", "b"])
+
+    return _in_order(_with_texts(_stars(pairs, total, cfg.star), 2 * total, docs, nodes, cfg)).mapInArrow(run, "a long, b long")
 
 
 def _block_links(table: pa.Table, cfg: SketchConfig) -> tuple[list[int], list[int]]:
@@ -197,30 +259,26 @@ def _block_links(table: pa.Table, cfg: SketchConfig) -> tuple[list[int], list[in
     return a, b
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, label: DataFrame, cfg: SketchConfig, repeats: bool = True) -> DataFrame:
-    """a, b: links between doc_ids by the nodes (id, doc_id, mark, n) of a group (label: id, component) that keep all that are linked connected.
+def block_links(label: DataFrame, docs: DataFrame, nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """a, b: links by the full sets between members of a group (label: id, component) that keep all that are linked connected.
 
-    A node's text is the one with its doc_id and mark; where rows may repeat both, repeats keeps one of them.
-    All members of a group are compared by their full sets. A group beyond the size of a block is dealt
-    into blocks, and each pair of blocks is a group of its own, so no task holds more than two blocks.
+    A group beyond the size of a block is dealt into blocks, and each pair of blocks is a group of its own,
+    so no task holds more than two blocks; a text then moves once for each block of its group.
     """
-    sized = label.join(nodes.select("id", "doc_id", "mark", "n"), "id")
+    sized = C.materialize(label.join(nodes.select("id", "n"), "id"), "sized")
     groups = sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("size") / cfg.block, F.col("total") / cfg.block_shingles)).cast("int").alias("blocks")
-    dealt = sized.join(groups.select("component", blocks), "component").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    total = sized.count()
+    count = F.ceil(F.greatest(F.col("size") / cfg.block, F.col("total") / cfg.block_shingles)).cast("int")
+    dealt = C.join_salted(sized, groups.select("component", count.alias("blocks")), "component", total).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.select("id", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = C.materialize(dealt.select("id", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")), "blocks")
-    ids = sized.select("id", "doc_id", "mark")
-    few = label.count() <= cfg.broadcast_ids
-    texts = docs.withColumn("mark", F.xxhash64("text")).join(F.broadcast(ids) if few else ids, ["doc_id", "mark"]).select("id", "doc_id", "text")
-    texts = C.materialize(texts.dropDuplicates(["id"]) if repeats else texts, "texts")
+    dealt = dealt.select("id", "component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    dealt = C.materialize(dealt, "blocks")
 
     def run(table: pa.Table) -> pa.Table:
-        doc = dict(zip(table.column("id").to_pylist(), table.column("doc_id").to_pylist(), strict=True))
-        a, b = ([doc[x] for x in side] for side in _block_links(table, cfg))
+        a, b = _block_links(table, cfg)
         return pa.table(list(map(pa.array, (a, b), [pa.int64()] * 2)), ["a", "b"])
 
-    return dealt.join(texts, "id").groupBy("component", "i", "j").applyInArrow(run, "a long, b long").filter("a <> b")
+    return _with_texts(dealt, dealt.count(), docs, nodes, cfg).groupBy("component", "i", "j").applyInArrow(run, "a long, b long").filter("a <> b")
 
 
 def _close_pairs(rows: DataFrame, nodes: DataFrame, cfg: SketchConfig) -> DataFrame:
@@ -254,38 +312,54 @@ def _close_pairs(rows: DataFrame, nodes: DataFrame, cfg: SketchConfig) -> DataFr
     return dealt.join(nodes.select("id", "n", "sketch"), "id").groupBy("key", "p", "q").applyInArrow(run, "a long, b long")
 
 
-def candidate_groups(nodes: DataFrame, cfg: SketchConfig = SketchConfig()) -> DataFrame:
-    """id, component: groups of nodes (id, n, sketch) outside of which no node has a link, from the sketches alone.
+def _open_members(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Of the buckets' members (key, a, b), those of buckets in which two that aren't leaders are of different groups, at least one of them not its leader's.
 
-    Two nodes of a bucket whose estimate allows a link end in one group.
+    key, id, group, outlier (not in its leader's group), o and i (the bucket's numbers of outliers and others, without the leader).
     """
-    nodes = C.materialize(nodes.select("id", "n", "sketch"), "nodes")
-    rows = _bands(nodes, cfg)
-    leaders = rows.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("size")).filter("size > 1")
-    buckets = C.materialize(rows.join(leaders, "key").select("key", "a", F.col("id").alias("b")), "buckets")
-    pairs = buckets.filter("a <> b").select("a", "b").distinct()
-    label = _joined(None, _estimate(pairs, nodes, cfg).filter("close"))
-
-    # What is left: members of a bucket that are not in their leader's group.
     home = label.select(F.col("id").alias("a"), F.col("component").alias("la"))
     own = label.select(F.col("id").alias("b"), F.col("component").alias("lb"))
-    members = buckets.join(home, "a", "left").join(own, "b", "left").select("key", F.col("b").alias("id"), F.coalesce("lb", "b").alias("group"), F.coalesce("la", "a").alias("home"))
-    members = C.materialize(members.withColumn("outlier", F.expr("home <> group")), "members")
-    sizes = members.groupBy("key").agg(F.count_if("outlier").alias("o"), F.count_if(~F.col("outlier")).alias("i")).filter("o > 0")
-    rest = C.materialize(members.join(sizes, "key"), "rest")
+    total = members.count()
+    rows = C.join_salted(members.filter("a <> b").join(own, "b", "left"), home, "a", total, "left")
+    rows = rows.select("key", F.col("b").alias("id"), F.coalesce("lb", "b").alias("group"), (F.coalesce("la", "a") != F.coalesce("lb", "b")).alias("outlier"))
+    rows = C.materialize(rows, "members")
+    counts = rows.groupBy("key").agg(F.count_if("outlier").alias("o"), F.count_if(~F.col("outlier")).alias("i"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+    return C.materialize(C.join_salted(rows, counts.filter("o > 0 and g0 <> g1").drop("g0", "g1"), "key", total), "rest")
+
+
+def node_groups(docs: DataFrame, nodes: DataFrame, cfg: SketchConfig = SketchConfig()) -> DataFrame:
+    """id, component (the smallest id reachable over links) for the nodes (id, place, n, sketch) that have a link; docs: place, text."""
+    members = buckets(nodes, cfg)
+    close = C.materialize(estimated(members.filter("a <> b").select("a", "b").distinct(), members.count(), nodes, cfg), "close")
+    total = close.count()
+    stars = close.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
+    label = components(confirmed(stars, total, docs, nodes, cfg))
+
+    # Leaders that are close to a member but not in its group yet.
+    la = label.select(F.col("id").alias("a"), F.col("component").alias("la"))
+    lb = label.select(F.col("id").alias("b"), F.col("component").alias("lb"))
+    more = C.join_salted(close.join(stars, ["a", "b"], "left_anti").join(lb, "b", "left"), la, "a", total, "left")
+    more = C.materialize(more.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "apart")
+    if not more.isEmpty():
+        label = _joined(label, confirmed(more, more.count(), docs, nodes, cfg))
+
+    rest = _open_members(members, label)
+    if rest.isEmpty():
+        return label
     work = F.col("o") * (F.col("o") + F.col("i"))
     x, y = rest.filter((work <= cfg.small) & F.col("outlier")).alias("x"), rest.filter(work <= cfg.small).alias("y")
     few = x.join(y, "key").filter("x.group <> y.group and (x.id < y.id or not y.outlier)").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    more = _estimate(few.distinct(), nodes, cfg).filter("close").select("a", "b")
+    few = C.materialize(estimated(few.distinct(), rest.count() * cfg.small, nodes, cfg).select("a", "b"), "few")
+    links = confirmed(few, few.count(), docs, nodes, cfg)
     crowds = rest.filter(work > cfg.small).select("key", "id", "outlier", "o", "i")
-    more = C.materialize(more.unionByName(_close_pairs(crowds, nodes, cfg)), "more")
-    return label if more.isEmpty() else _joined(label, more)
+    if not crowds.isEmpty():
+        links = links.unionByName(block_links(components(_close_pairs(crowds, nodes, cfg)), docs, nodes, cfg))
+    return _joined(label, links)
 
 
-def _joined(label: DataFrame | None, more: DataFrame) -> DataFrame:
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
     """The components with further links a, b."""
-    more = more.select("a", "b")
-    return components(more if label is None else more.unionByName(label.select(F.col("component").alias("a"), F.col("id").alias("b"))))
+    return components(more.select("a", "b").unionByName(label.select(F.col("component").alias("a"), F.col("id").alias("b"))))
 
 
 def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -305,58 +379,108 @@ def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return [root(x) for x in ends], ends
 
 
-def components(edges: DataFrame, rounds: int = 60, block: int = 20_000) -> DataFrame:
-    """id, component (smallest id reachable) for every id of the edges a, b.
-
-    Blocks of edges are first thinned to forests, a task each; then large-star and small-star alternate.
-    """
-    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+def _thinned(edges: DataFrame, most: int = 200_000) -> DataFrame:
+    """Each partition's edges as forests of up to most edges."""
 
-    def thin(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, fresh = [], [], 0
         for batch in it:
-            a += batch.column("a").to_pylist()
-            b += batch.column("b").to_pylist()
+            a += batch.column(0).to_pylist()
+            b += batch.column(1).to_pylist()
+            fresh += batch.num_rows
+            if fresh > most:
+                (a, b), fresh = forest(a, b), 0
+                if len(a) > most:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, (a, b), [pa.int64()] * 2)), ["a", "b"])
+                    a, b = [], []
         yield pa.RecordBatch.from_arrays(list(map(pa.array, forest(a, b), [pa.int64()] * 2)), ["a", "b"])
 
-    edges = edges.repartition(edges.count() // block + 1).mapInArrow(thin, "a long, b long").distinct().checkpoint()
-    for _ in range(rounds):
-        # Done when all are stars: each end has one center, and no center is an end.
-        ends = edges.select(F.col("b").alias("id"), F.lit(1).alias("end"), F.lit(0).alias("center"))
-        ends = ends.unionByName(edges.select(F.col("a").alias("id"), F.lit(0).alias("end"), F.lit(1).alias("center")))
-        if ends.groupBy("id").agg(F.sum("end").alias("end"), F.max("center").alias("center")).filter("end + center > 1").isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b")
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select("a", "b", "m")
-        edges = small.select(F.col("m").alias("a"), "b").unionByName(small.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, block: int = 20_000) -> DataFrame:
+    """id, component (smallest id reachable) for every id of the edges a, b.
+
+    Partitions of edges are first thinned to forests. What is at most a block then ends in one more forest; else
+    large-star and small-star alternate until all components are stars, however many rounds that takes.
+    """
+    edges = C.materialize(_thinned(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")), "edges")
+    if edges.count() <= block:
+        edges = _thinned(edges.repartition(1))
+    else:
+        edges = C.materialize(edges.distinct(), "edges")
+        while not _all_stars(edges):
+            edges = C.materialize(_stars_of_stars(edges), "edges")
     roots = edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
-    return roots.unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("component")))
+    return C.materialize(roots.unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("component"))), "label")
 
 
-def near_duplicates(docs: DataFrame, cfg: SketchConfig = SketchConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _stars_of_stars(edges: DataFrame) -> DataFrame:
+    """One round of large-star, then small-star, on edges a < b."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    large = C.join_salted(edges, least, "a", edges.count()).select(F.least("a", "m").alias("a"), "b").distinct()
+    large = C.materialize(large, "large")
+    small = C.join_salted(large, large.groupBy("b").agg(F.min("a").alias("m")), "b", large.count())
+    return small.select(F.col("m").alias("a"), "b").unionByName(small.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each end has one center and no center is an end."""
+    ends = edges.select(F.col("b").alias("id"), F.lit(1).alias("end"), F.lit(0).alias("center"))
+    ends = ends.unionByName(edges.select(F.col("a").alias("id"), F.lit(0).alias("end"), F.lit(1).alias("center")))
+    return ends.groupBy("id").agg(F.sum("end").alias("end"), F.max("center").alias("center")).filter("end + center > 1").isEmpty()
+
+
+def row_groups(docs: DataFrame, cfg: SketchConfig = SketchConfig()) -> DataFrame:
+    """place, doc_id, n, row, grp for every row of docs (place, doc_id, text): row numbers the rows, grp is the smallest row reachable, null for an empty set."""
+    sets = C.materialize(sketch(docs, cfg).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    named = sets.filter("n > 0")
+    nodes = named.groupBy("digest").agg(F.min(F.struct("row", "place", "n", "sketch")).alias("r"))
+    nodes = C.materialize(nodes.select("digest", F.col("r.row").alias("id"), "r.place", "r.n", "r.sketch"), "nodes")
+    label = node_groups(docs, nodes, cfg)
+    heads = nodes.join(label, "id", "left").select("digest", F.coalesce("component", "id").alias("grp"))
+    rows = C.join_salted(named.select("place", "doc_id", "n", "row", "digest"), heads, "digest", sets.count())
+    rest = sets.filter("n = 0").withColumn("grp", F.lit(None).cast("long"))
+    columns = ("place", "doc_id", "n", "row", "grp")
+    return C.materialize(rows.select(*columns).unionByName(rest.select(*columns)), "row_groups")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, scan: bool) -> tuple[DataFrame, DataFrame, str]:
+    """docs as place, doc_id and text; docs with its own place column, and that column's name."""
+    rows, place = C.placed(docs, scan)
+    return rows.select(F.col(place).alias("place"), C.quoted(id_col).cast("long").alias("doc_id"), C.quoted(text_col).cast("string").alias("text")), rows, place
+
+
+def near_duplicates(docs: DataFrame, cfg: SketchConfig = SketchConfig(), id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Null and empty texts have an empty set and link with nothing. Rows that share a doc_id count as
-    one node of the graph. A row without doc_id belongs to no component (null) and is kept. Further
-    columns of docs are not read.
+    one node of the graph. A row without doc_id takes the component of the rows it is linked with, and is kept only if
+    none of them has a doc_id. Further columns of docs are not read. scan as in common.placed.
+    """
+    rows = row_groups(_named(docs, id_col, text_col, scan)[0], cfg)
+    named = rows.filter("grp is not null")
+    total = rows.count()
+    shared = named.filter("doc_id is not null").groupBy("doc_id").agg(F.min("grp").alias("a"), F.max("grp").alias("z")).filter("a <> z").drop("z")
+    if not shared.isEmpty():  # a doc_id on several texts joins their groups
+        merged = components(C.join_salted(named.select("doc_id", "grp"), shared, "doc_id", total).select("a", F.col("grp").alias("b")))
+        named = C.join_salted(named.select("doc_id", "n", "grp"), merged.withColumnRenamed("id", "grp"), "grp", total, "left")
+        named = C.materialize(named.select("doc_id", "n", F.coalesce("component", "grp").alias("grp")), "regrouped")
+    least = named.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
+    out = C.join_salted(named.select("doc_id", "n", "grp"), least, "grp", total).select("doc_id", "n", "component_id")
+    out = out.unionByName(rows.filter("grp is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, cfg: SketchConfig = SketchConfig(), id_col: str = "doc_id", text_col: str = "text", scan: bool = False) -> DataFrame:
+    """The rows of docs that stay, all columns: of each group that with the smallest doc_id, of several with that doc_id one.
+
+    A row is a document of its own, whatever its doc_id: a null doc_id comes last, repeated ones don't join groups.
+    Null and empty texts stay.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = C.materialize(sketch(docs, cfg), "sketch")
-    named = sets.filter("n > 0 and doc_id is not null")
-    groups = named.groupBy("digest").agg(F.min(F.struct("doc_id", "mark", "n", "sketch")).alias("r")).select("digest", "r.*")
-    # A node is a distinct set, not a doc_id, which may stand for several sets; links between nodes are then links between doc_ids.
-    groups = C.materialize(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
-    repeated = C.materialize(named.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("b")), "repeated")
-    repeats = not repeated.isEmpty()
-    label = components(confirmed(docs, groups, candidate_groups(groups, cfg), cfg, repeats))
-    # Copies hang on their representative; only ids repeated over several sets need them as links.
-    if repeats:
-        copies = named.join(groups.select("digest", F.col("doc_id").alias("a")), "digest").select("a", F.col("doc_id").alias("b")).filter("a <> b")
-        label = _joined(label, copies.join(repeated, "b", "left_semi").select("a", "b"))
-    heads = groups.select("digest", "doc_id").join(label, F.col("doc_id") == F.col("id"), "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sets.filter("n > 0 and doc_id is not null").join(heads, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    texts, own, place = _named(docs, id_col, text_col, scan)
+    rows = row_groups(texts, cfg).filter("grp is not null")
+    first = rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f"), F.count("*").alias("size")).filter("size > 1")
+    gone = C.join_salted(rows.select("grp", "row", "place"), first.select("grp", F.col("f.row").alias("stays")), "grp", rows.count()).filter("row <> stays")
+    return C.without(own, place, gone.select("place"))

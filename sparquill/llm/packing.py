@@ -36,7 +36,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id"
                 ["doc_id", "part", "begin", "n", "ids"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(C.quoted(id_col).cast("long").alias("doc_id"), C.quoted(text_col).cast("string").alias("text"))
     return C.materialize(rows.mapInArrow(run, "doc_id long, part int, begin long, n long, ids binary"), "tokens", compression="zstd")
 
 
@@ -172,7 +172,7 @@ def pack_best_fit(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
         if held:
             yield pack(held_docs, held, first)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(C.quoted(id_col).cast("long").alias("doc_id"), C.quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids binary")
 
 

@@ -7,12 +7,13 @@ walks all rows of a batch down a tree at once.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -147,32 +148,45 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: TreeConfig = TreeConfig(), id
     return fit(np.array([r["x"] for r in found], float).reshape(-1, len(FEATURES)), np.array([r["quality"] for r in found], float), cfg)
 
 
-def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id and score for every row (null texts count as empty); with keep, all columns of docs and __score."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+def score_of(trees: Trees, spark: SparkSession) -> Callable[[Column], Column]:
+    """The score of a text as a column function; null counts as empty."""
+    shared = spark.sparkContext.broadcast(trees)
+
+    @F.pandas_udf("double")
+    def of(text: pd.Series) -> pd.Series:
+        parts = [_scores(shared.value, [b"" if t is None else t.encode() for t in text.iloc[at : at + 512]]) for at in range(0, len(text), 512)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
+
+    return of
+
+
+def _scores(trees: Trees, texts: list[bytes]) -> np.ndarray:
+    return trees.score(np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES)))
 
-    def scores(texts: list[bytes]) -> np.ndarray:
-        return shared.value.score(np.array([statistics(t) for t in texts], float).reshape(-1, len(FEATURES)))
+
+def score(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score for every row; null texts count as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(it):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(C.text_bytes(batch.column(1))))], ["doc_id", "score"])
-
-    if not keep:
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, C.text_bytes(batch.column(1))))], ["doc_id", "score"])
 
-    @F.pandas_udf("double")
-    def of(text):
-        import pandas as pd
+    return docs.select(C.quoted(id_col).cast("long").alias("doc_id"), C.quoted(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
-        parts = [scores([b"" if t is None else t.encode() for t in text.iloc[at : at + 512]]) for at in range(0, len(text), 512)]
-        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
 
-    return docs.withColumn("__score", of(F.col(text_col).cast("string")))
+def drop_below(docs: DataFrame, trees: Trees, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs with a score of threshold or more, all columns."""
+    return docs.filter(score_of(trees, docs.sparkSession)(C.quoted(text_col).cast("string")) >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cfg: TreeConfig = TreeConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row. A null doc_id counts as not held out."""
+    """doc_id, held_out, score, predicted for every row, repeated ones too; an empty table has no rows.
+
+    Null and empty texts get the score of a text without words. A null doc_id counts as not held out. Labels other than 0 and 1 and
+    labels without doc_id are not learned from; of several for one doc_id the greatest counts. Without any, every score
+    is one half. Further columns are not read.
+    """
     out = score(docs, learn(docs, labels, cfg, id_col, text_col), id_col, text_col)
     held = F.coalesce(_held_out(F.col("doc_id")), F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cfg.threshold).cast("int").alias("predicted"))

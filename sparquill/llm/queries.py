@@ -24,12 +24,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_documents(spark, sf_dir))
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), scan=True)
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    found = secrets.scan_history(docs.select(F.col("doc_id").alias("path"), "text"))
+    found = secrets.scan_history(_table(spark, sf_dir, "documents"), path_col="doc_id", scan=True)
     base = F.filter("findings", lambda x: x["rank"] < len(secrets.BASE))
     counts = [F.size(F.expr(f"filter(findings, x -> x.kind = '{r.kind}')")).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("findings")).alias("spans"))
@@ -40,7 +39,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(_documents(spark, sf_dir))
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"), scan=True)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), scan=True)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,24 +107,35 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l
 """
 
 
+#: The kinds of the secrets query with their patterns, what comes before the part that counts, and its least length: the base ones as its contract states them.
+_OP2_WORDS = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+_OP2_KINDS = (
+    ("assign", _OP2_WORDS + "[A-Za-z0-9+/_.=-]+", "^" + _OP2_WORDS, 6),
+    ("access", "AKIA[A-Z0-9]+", "", 20),
+    ("hex", "[0-9a-f]+", "", 24),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "", 0),
+    ("code_host_token", "gh[pousr]_[A-Za-z0-9]{36,}", "", 0),
+    ("signed_token", r"eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", "", 0),
+)
+
+
 def _op2() -> str:
     parts = []
-    for rank, rule in enumerate(secrets.RULES):
-        pattern = rule.pattern.replace("'", "''")
-        keep = f"length(regexp_replace(m, '{rule.tail.replace(chr(39), chr(39) * 2)}', '')) >= {rule.least}" if rule.tail else "TRUE"
+    for rank, (kind, pattern, head, least) in enumerate(_OP2_KINDS):
+        pattern, head = pattern.replace("'", "''"), head.replace("'", "''")
+        counted = f"regexp_replace(m, '{head}', '')" if head else "m"
         parts.append(
-            f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, s, s + length(m) AS e FROM (
+            f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e FROM (
             SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
             FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
                 SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS ps FROM texts)))
-            WHERE {keep}"""
+            WHERE length({counted}) >= {least}"""
         )
-    base = len(secrets.BASE)
     return f"""
     WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     found AS ({' UNION ALL '.join(parts)}),
     lists AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
-        string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) FILTER (rank < {base}) AS base,
+        string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
         string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) AS spans FROM found GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
         sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans

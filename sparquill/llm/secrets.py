@@ -1,33 +1,39 @@
 """Secrets in every version of every text, scanned once a content and rule version.
 
-The ledger has a row for each scanned content (a blob, addressed by its SHA-256) with the rule
-versions applied and their findings. A run scans only pairs of blob and rule version that the
-ledger lacks, and joins the findings back to all paths that hold a blob. Column expressions only.
+The ledger says which rule versions were applied to which content (a blob, addressed by its
+SHA-256), and what each of them found. A run hashes all texts, scans only the pairs of blob and
+rule version that the ledger lacks, and joins the findings of the rules now in force back to all
+paths that hold a blob. Column expressions only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common as C
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches of pattern; of them, those whose tail (a pattern up to the end) has least characters."""
+    """Leftmost non-overlapping matches of pattern; of them, those with least characters after what head matches, if there is a head."""
 
     kind: str
     version: int
     pattern: str
-    tail: str = ""
+    head: str = ""
     least: int = 0
 
     @property
     def key(self) -> str:
-        return f"{self.kind}@{self.version}"
+        """What the ledger knows the rule by: its kind, version and content."""
+        content = hashlib.sha256("\0".join((self.pattern, self.head, str(self.least))).encode()).hexdigest()
+        return f"{self.kind}@{self.version}@{content[:16]}"
 
 
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?"""
@@ -46,58 +52,110 @@ MORE = (
 )
 RULES = BASE + MORE
 
+_LEDGER = "blob string, rules array<string>, findings array<struct<rule:string,start:int,end:int>>"
 _FINDINGS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
-def _spans(rule: Rule, rank: int, text: str, matches: str) -> Column:
-    """Findings of a rule: positions are sums of the lengths of what split() leaves between the matches, in code points."""
-    pieces = F.arrays_zip(F.col(matches).alias("m"), F.split(F.col(text), rule.pattern, -1).alias("p"))
+def _matches(rule: Rule, found: str) -> Column:
+    """For each match of a rule (column found) in column text: its number, the characters before it since the last one, its own, and whether it counts."""
+    pieces = F.arrays_zip(F.col(found).alias("m"), F.slice(F.split("text", rule.pattern, -1), F.lit(1), F.size(found)).alias("p"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        good = F.length(F.regexp_replace(x["m"], rule.tail, "")) >= rule.least if rule.tail else F.lit(True)
-        found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        more = F.when(good, F.concat(state["out"], F.array(found))).otherwise(state["out"])
-        return F.when(x["m"].isNull(), state).otherwise(F.struct(end.alias("at"), more.alias("out")))
+    def each(x: Column, i: Column) -> Column:
+        good = F.length(F.regexp_replace(x["m"], rule.head, "")) >= rule.least if rule.head else F.lit(True)
+        return F.struct(F.lit(rule.key).alias("rule"), i.alias("k"), F.length(x["p"]).alias("gap"), F.length(x["m"]).alias("size"), good.alias("good"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_FINDINGS).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(pieces, start, step)["out"]).otherwise(F.array().cast(_FINDINGS))
+    none = F.array().cast("array<struct<rule:string,k:int,gap:int,size:int,good:boolean>>")
+    return F.when(F.size(found) > 0, F.transform(pieces, each)).otherwise(none)
 
 
-def scan_blobs(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """New ledger rows (blob, rules, findings) for blobs (blob, text; each once) and the rules not yet applied to them."""
-    if ledger is not None:
-        known = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("known"))
-        blobs = blobs.join(known, "blob", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
-    else:
-        blobs = blobs.withColumn("known", F.array().cast("array<string>"))
-    due = F.array_except(F.array(*(F.lit(r.key) for r in rules)), F.col("known"))
-    rows = blobs.withColumn("rules", due).filter(F.size("rules") > 0)
-    none = F.array().cast("array<string>")
-    found = rows.select("blob", "rules", "text", *(F.when(F.array_contains("rules", r.key), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).otherwise(none).alias(f"m{k}") for k, r in enumerate(rules)))
-    return found.select("blob", "rules", F.concat(*(_spans(r, k, "text", f"m{k}") for k, r in enumerate(rules))).alias("findings"))
+def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, findings for those of the blobs (blob, text; each once) with any. Positions are code points.
+
+    A match starts where the lengths of all pieces and matches before it end: a running sum over the rows of a blob's matches.
+    """
+    found = [F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)).alias(f"m{k}") for k, r in enumerate(rules)]
+    # The numbers keep the optimizer from searching a text a second time for a filter on the matches.
+    rows = blobs.select("blob", "text", *found, F.monotonically_increasing_id().alias("number"))
+    rows = rows.select("blob", F.explode(F.concat(*(_matches(r, f"m{k}") for k, r in enumerate(rules)))).alias("x"), "number").select("blob", "x.*").repartition("blob")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("blob", "rule").orderBy("k")).cast("int")
+    rows = rows.withColumn("end", end).filter("good").select("blob", F.struct("rule", (F.col("end") - F.col("size")).alias("start"), "end").alias("x"))
+    return rows.groupBy("blob").agg(F.collect_list("x").alias("findings"))
+
 
+def _ledger(spark, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-def scan_history(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> DataFrame:
+
+def _scan_new(rows: DataFrame, place: str, blobs: DataFrame, ledger: DataFrame | None, path: str, rules: tuple[Rule, ...]) -> None:
+    """Scans the blobs (blob, at: the place of one row that holds it) for the rules not yet applied to them, and adds the results to the ledger.
+
+    Blobs with the same rules to apply are scanned in one pass, in the rows that hold them. Of these rows and all others,
+    the fewer are named to the tasks, so texts move only where there are many of both.
+    """
+    keys = [r.key for r in rules]
+    if ledger is None:
+        todo = blobs.withColumn("due", F.array(*map(F.lit, keys)))
+    else:
+        known = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("known"))
+        due = F.array_except(F.array(*map(F.lit, keys)), F.coalesce("known", F.array().cast("array<string>")))
+        todo = blobs.join(known, "blob", "left").withColumn("due", due).drop("known")
+    todo = C.materialize(todo, "todo")
+    # The sets of rules due are few: one for each set of versions that was ever in force.
+    for due in [r["due"] for r in todo.filter(F.size("due") > 0).select("due").distinct().collect()]:
+        wanted = todo.filter(F.col("due") == F.array(*map(F.lit, due))).select("blob", "at")
+        own = tuple(r for r in rules if r.key in due)
+        found = scan(_at(rows, place, wanted.select("at")).select("blob", "text"), own)
+        done = wanted.select("blob", F.array(*map(F.lit, due)).alias("rules"), F.array().cast("array<struct<rule:string,start:int,end:int>>").alias("findings"))
+        done.unionByName(found.select("blob", F.array().cast("array<string>").alias("rules"), "findings")).write.mode("append").parquet(path)
+
+
+def _at(rows: DataFrame, place: str, wanted: DataFrame, limit: int = 300_000) -> DataFrame:
+    """The rows at the wanted places."""
+    n = wanted.count()
+    if n <= limit:
+        return rows.join(F.broadcast(wanted), F.col(place) == F.col("at"), "left_semi")
+    others = rows.select(F.col(place).alias("other")).join(wanted, F.col("other") == F.col("at"), "left_anti")
+    if rows.count() - n <= limit:
+        return rows.join(F.broadcast(others), F.col(place) == F.col("other"), "left_anti")
+    return rows.join(wanted, F.col(place) == F.col("at"), "left_semi")
+
+
+def scan_history(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "path", text_col: str = "text", scan: bool = False) -> DataFrame:
     """path, blob, findings (ordered by start, then by the rule's place in rules) for every row of versions.
 
-    Rows are versions of the texts at paths, as many as there were; null counts as empty. The ledger at
-    ledger_path, a Parquet folder in a shared store, is made or extended; without a path it lasts for this run.
+    Rows are versions of the texts at paths, as many as there were, repeated ones too; null counts as empty; further
+    columns are not read; an empty table has no rows. The ledger at ledger_path, a Parquet folder in a shared store, is made or
+    extended; without a path it lasts for this run. Findings of rules or versions that are not in rules stay in the
+    ledger and are not returned. scan as in common.placed.
     """
     spark = versions.sparkSession
-    rows = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blobs = rows.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("blob"), "text").dropDuplicates(["blob"])
+    rows, place = C.placed(versions, scan)
+    text = F.coalesce(C.quoted(text_col).cast("string"), F.lit(""))
+    rows = rows.select(C.quoted(path_col).alias("path"), F.col(place).alias("place"), text.alias("text"), F.sha2(F.encode(text, "UTF-8"), 256).alias("blob"))
+    at = C.materialize(rows.select("path", "blob", "place"), "paths")
     path = ledger_path or C.scratch_path(spark, "ledger")
-    schema = f"blob string, rules array<string>, findings {_FINDINGS}"
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    seen = spark.read.schema(schema).parquet(path) if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs) else None
-    scan_blobs(blobs, seen, rules).write.mode("append").parquet(path)
-    hits = spark.read.schema(schema).parquet(path).filter(F.size("findings") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
-    kinds = F.array(*(F.lit(r.kind) for r in rules))
-    hits = hits.withColumn("findings", F.array_sort(F.filter("findings", lambda x: F.array_contains(kinds, x["kind"]))))
-    at = rows.select("path", F.sha2(F.encode("text", "UTF-8"), 256).alias("blob"))
-    return at.join(hits, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(_FINDINGS)).alias("findings"))
+    blobs = at.groupBy("blob").agg(F.min("place").alias("at"))
+    _scan_new(rows, "place", blobs, _ledger(spark, path), path, rules)
+
+    keys = F.array(*(F.lit(r.key) for r in rules))
+
+    def named(x: Column) -> Column:
+        rank = (F.array_position(keys, x["rule"]) - 1).cast("int")
+        return F.struct(x["start"].alias("start"), rank.alias("rank"), F.substring_index(x["rule"], "@", 1).alias("kind"), x["end"].alias("end"))
+
+    ledger = _ledger(spark, path)
+    if ledger is None:  # nothing was ever scanned
+        return at.select("path", "blob", F.array().cast(_FINDINGS).alias("findings"))
+    hits = ledger.select("blob", F.filter("findings", lambda x: F.array_contains(keys, x["rule"])).alias("findings")).filter(F.size("findings") > 0)
+    hits = hits.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("all"))
+    hits = hits.select("blob", F.array_sort(F.transform("all", named)).alias("findings"))
+    out = C.join_salted(at.select("path", "blob"), hits, "blob", at.count(), "left")
+    return out.select("path", "blob", F.coalesce("findings", F.array().cast(_FINDINGS)).alias("findings"))
 
 
 def listed(findings: Column) -> Column:

@@ -1,5 +1,7 @@
+import functools
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -96,8 +98,62 @@ def test_minhash_one_id_on_two_texts(spark):
 
 
 def test_minhash_odd_rows(spark, docs, none):
-    assert minhash.near_duplicates(docs).count() == len(ODD)
+    got = {str(r["doc_id"]): (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    want = {"1": (0, 1, True), "2": (0, 2, True), "3": (0, 3, True), "4": (1, 4, True), "5": (1, 4, False), "6": (1, 6, True), "7": (1, 7, True), "8": (1, 8, True), "None": (1, 4, False)}
+    assert got == want and minhash.near_duplicates(docs).count() == len(ODD)
     assert minhash.near_duplicates(none).count() == 0
+    kept = minhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == list("12345678".replace("5", ""))
+    assert minhash.drop_near_duplicates(none).count() == 0
+
+
+def test_components_converge(spark):
+    """Chains, stars and many small parts, in one block and in many, come out whole."""
+    chain = [(i, i + 1) for i in range(300)]
+    star = [(1000, 1000 + i) for i in range(1, 6000)]
+    pairs = [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(200)]
+    edges = spark.createDataFrame(chain + star + pairs, "a long, b long").repartition(7)
+    want = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(6000)} | {10_000 + i: 10_000 + i - i % 2 for i in range(400)}
+    for block in (20_000, 10):
+        got = minhash.components(edges, block=block).collect()
+        assert len(got) == len(want) and {r["id"]: r["component"] for r in got} == want
+
+
+def near_copies(n, words=60):
+    """n distinct texts that are all one edit away from a base text."""
+    base = [f"w{i}" for i in range(words)]
+    return [" ".join([*base[: i % words], f"x{i}", *base[i % words + 1 :]]) for i in range(n)]
+
+
+def test_minhash_work_on_a_large_group_is_linear(spark, monkeypatch):
+    """One group of near copies: the texts that move to be compared are at most three a member."""
+    dealt = []
+    real = minhash._with_texts
+
+    def counted(rows, *args):
+        out = real(rows, *args)
+        dealt.append(rows.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_with_texts", counted)
+    for n in (1000, 4000):
+        dealt.clear()
+        rows = spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id long, text string")
+        assert minhash.near_duplicates(rows).filter("component_id = 0").count() == n
+        assert sum(dealt) <= 3 * n
+
+
+def test_minhash_finds_all_pairs_just_above_the_threshold(spark):
+    """600 pairs of unequal sizes with a similarity of 0.75 to 0.76."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(600):
+        n = rng.randrange(40, 240)
+        words = [f"p{k}w{i}" for i in range(n + 4)]
+        extra = n // 3  # n shared shingles of n + n // 3
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, *(f"p{k}v{i}" for i in range(extra))]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(1200)}
 
 
 def test_similarity_estimate():
@@ -146,13 +202,37 @@ def test_secret_ledger_scans_new_pairs_only(spark, tmp_path):
     assert pairs.count() == pairs.distinct().count() == 5 * len(secrets.RULES)  # null and empty are one blob
 
 
+def test_secret_rules_narrowed_widened_removed_and_reordered(spark, tmp_path):
+    """Whatever rules ran on a ledger before, the result is that of a fresh scan; what is known is not scanned again."""
+    path = str(tmp_path / "ledger")
+    rows = spark.createDataFrame(list(enumerate([*SECRETS, "AKIA" + "B" * 16 + " AKIA" + "C" * 30])), "path long, text string")
+    assign, access, hexes = secrets.BASE
+    sets = [secrets.BASE, (assign, secrets.Rule("access", 2, "AKIA[A-Z0-9]{30,}"), hexes), (secrets.Rule("access", 3, "AKIA[A-Z0-9]{8,}"), hexes), (hexes, assign), (secrets.Rule("access", 1, "AKIA[BC]+"), hexes), secrets.BASE]
+
+    def found(*args):
+        return sorted((r["path"], r["s"], r["ranks"]) for r in secrets.scan_history(rows, *args).select("path", secrets.listed(F.col("findings")).alias("s"), F.transform("findings", lambda x: x["rank"]).alias("ranks")).collect())
+
+    for rules in sets:
+        assert found(path, rules) == found(None, rules)
+
+
+def test_known_blobs_are_not_read_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    rows = spark.createDataFrame(list(enumerate(SECRETS)), "path long, text string")
+    first = secrets.scan_history(rows, path).collect()
+    monkeypatch.setattr(secrets, "scan", lambda *a: pytest.fail("scanned again"))
+    assert sorted(map(str, secrets.scan_history(rows, path).collect())) == sorted(map(str, first))
+
+
 def test_secrets_odd_rows(spark, docs, none):
-    own = docs.selectExpr("*", "'x' blob", "1 path")
+    own = docs.selectExpr("*", "'x' blob", "1 path", "1 place", "1 `a.b`")
     got = secrets.scan_history(own, path_col="doc_id")
     assert got.columns == ["path", "blob", "findings"] and got.count() == len(ODD)
     assert secrets.scan_history(none, path_col="doc_id").count() == 0
     long = spark.createDataFrame([(1, "x " * 200_000 + "token=abcdef"), (1, None)], "path long, text string")
     assert sorted(r["s"] for r in secrets.scan_history(long).select(secrets.listed(F.col("findings")).alias("s")).collect()) == ["", "assign:400000:400012"]
+    many = spark.createDataFrame([(1, "token=abcdef " * 20_000)], "path long, text string")
+    assert len(secrets.scan_history(many).first()["findings"]) == 20_000
 
 
 def brute_rule(host, path, rules):
@@ -190,18 +270,50 @@ def test_exact(spark, docs, none):
     for r in got:
         norm = next(k for k in by if hashlib.sha256(k.encode()).hexdigest() == r["text_sha256"])
         assert r["group_size"] == len(by[norm]) and r["keep_id"] == min(i for i in by[norm] if i is not None)
-        assert r["kept"] == (r["doc_id"] == r["keep_id"])
+        assert not r["kept"] or r["doc_id"] == r["keep_id"]
+    stays = [r["text_sha256"] for r in got if r["kept"]]
+    assert len(stays) == len(set(stays)) == len(by)
     kept = exact.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(i for i in ids if i is not None) for ids in by.values())
     assert exact.exact_duplicates(none).count() == 0 and exact.drop_exact_duplicates(none).count() == 0
 
 
-def test_exact_with_a_full_filter(spark, monkeypatch):
+def test_exact_null_ids_and_ties(spark):
+    """A null id stays only alone; of rows that repeat id and text one stays."""
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (2, "b"), (None, "b"), (2, "b"), (1, None), (3, "")], "doc_id long, text string")
+    got = sorted((r["text_sha256"][:4], str(r["keep_id"]), r["group_size"], str(r["doc_id"]), r["kept"]) for r in exact.exact_duplicates(rows).collect())
+    a, b, e = (hashlib.sha256(t.encode()).hexdigest()[:4] for t in ("a", "b", ""))
+    want = [(a, "None", 2, "None", True), (a, "None", 2, "None", False), (b, "2", 3, "2", True), (b, "2", 3, "2", False), (b, "2", 3, "None", False), (e, "1", 2, "1", True), (e, "1", 2, "3", False)]
+    assert got == sorted(want)
+    assert sorted(str(r["doc_id"]) for r in exact.drop_exact_duplicates(rows).collect()) == ["1", "2", "None"]
+
+
+def test_exact_filters_by_range(spark, monkeypatch):
+    """Beyond one filter's size the hashes are dealt into ranges, with the same result; one hash has a third of the rows."""
     monkeypatch.setattr(exact, "MAX_COUNTERS", 1 << 13)
-    rows = spark.range(20_000).selectExpr("id doc_id", "cast(id % 15000 as string) text")
-    got = exact.exact_duplicates(rows)
-    assert got.filter("kept").count() == 15_000 and got.filter("group_size = 2").count() == 10_000
+    monkeypatch.setattr(exact, "RANGE_ROWS", 4000)
+    rows = spark.range(30_000).selectExpr("id doc_id", "case when id < 10000 then 'hot' else cast(id % 15000 as string) end text")
+    got = exact.exact_duplicates(rows).toPandas()
+    plain = [(i, "hot" if i < 10_000 else str(i % 15_000)) for i in range(30_000)]
+    groups_ = defaultdict(list)
+    for i, t in plain:
+        groups_[t].append(i)
+    assert dict(zip(got.doc_id, got.group_size, strict=True)) == {i: len(groups_[t]) for i, t in plain}
+    assert set(got.doc_id[got.kept]) == {min(g) for g in groups_.values()}
+
+
+@pytest.mark.parametrize(("rows", "most"), [(20_000, 0.003), (60_000, 0.003), (1_000_000, 0.003)])
+def test_exact_unique_rows_pass_the_filter(rows, most):
+    """At every load that counters_for() allows, next to no unique hash counts as repeated, and every repeated one does."""
+    rng = np.random.default_rng(rows)
+    unique = rng.bytes(32 * rows)
+    digests = [unique[k : k + 32] for k in range(0, len(unique), 32)]
+    f = exact.RepeatFilter(exact.counters_for(rows))
+    f.add(digests)
+    f.add(digests[:5])
+    maybe = exact.maybe_repeated(f.bits(), digests)
+    assert maybe[:5].all() and maybe[5:].mean() <= most
 
 
 def test_chat_round_trip(spark):
@@ -247,12 +359,14 @@ def test_encoder_equals_tokenizer():
 
 def test_concat_and_cut(spark, docs, none):
     width = tokens.id_width(tokens.default_path())
-    rows = [r.asDict() for r in packing.concat_and_cut(docs.filter("doc_id <> 8 or doc_id is null").repartition(3), tokens.default_path(), 64).collect()]
+    rows = [r.asDict() for r in packing.concat_and_cut(docs.repartition(3), tokens.default_path(), 64).collect()]
     by = defaultdict(list)
     for r in rows:
         by[r["doc_id"]].append(r)
     for i, t in ODD:
-        if i != 8:
+        if i == 8:  # twice, so each piece is there twice
+            assert sum(r["length"] for r in by[8]) == 2 * len(full_ids(t)) and {r["doc_tokens"] for r in by[8]} == {len(full_ids(t))}
+        else:
             own = sorted(by[i], key=lambda r: r["start"])
             assert np.frombuffer(b"".join(r["ids"] for r in own), f"<u{width}").tolist() == full_ids(t)
     places = sorted((r["sequence_id"] * 64 + r["offset"], r["length"]) for r in rows)
@@ -263,7 +377,16 @@ def test_concat_and_cut(spark, docs, none):
 
 def test_op10_checksums(spark):
     want = {i: full_ids(t) for i, t in texts().items()}
-    for r in queries.op10_pack(spark, SF).collect():
+    rows = queries.op10_pack(spark, SF).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append((r["start"], r["length"]))
+    for i, ids in want.items():  # each id lies in exactly one piece
+        assert [x for a, n in sorted(by[i]) for x in range(a, a + n)] == list(range(len(ids)))
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    for (s, o, n), (s2, o2, _) in zip(places, places[1:], strict=False):
+        assert (s2, o2) == ((s, o + n) if o + n < 2048 else (s + 1, 0))
+    for r in rows:
         part = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
         assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and r["doc_tokens"] == len(want[r["doc_id"]])
 
@@ -283,17 +406,44 @@ def test_best_fit(spark, docs, none):
     assert sorted(i for b in bins for i in b) == list(range(300)) and len(bins) == len(free)
     width = tokens.id_width(tokens.default_path())
     pieces = defaultdict(dict)
-    for r in packing.pack_best_fit(docs.filter("doc_id <> 8"), tokens.default_path(), 128).collect():
+    copies = 0
+    for r in packing.pack_best_fit(docs, tokens.default_path(), 128).collect():
         ids = np.frombuffer(r["ids"], f"<u{width}")
         assert len(ids) == 128 and r["cu_seqlens"][:-1] == r["position_resets"]
         for d, s, a, b in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
             pieces[d][s] = ids[a:b].tolist()
+            copies += d == 8 and s == 0
+    assert copies == 2
     for i, t in ODD:
-        if i not in (8, None):
-            assert [x for s in sorted(pieces[i]) for x in pieces[i][s]] == full_ids(t)
+        assert [x for s in sorted(pieces[i]) for x in pieces[i][s]] == full_ids(t)
     assert packing.pack_best_fit(none, tokens.default_path()).count() == 0
 
 
+def test_op6_query_round_trip(spark, monkeypatch):
+    """All documents of the table are in the packed matrices once, and the query's columns say so."""
+    kept = {}
+    real = queries.C.materialize
+    monkeypatch.setattr(queries.C, "materialize", lambda df, label, **o: kept.setdefault(label, real(df, label, **o)))
+    rows = {r["sequence_id"]: r for r in queries.op6_packed_ids(spark, SF).collect()}
+    packed = kept["packed"].collect()
+    width = tokens.id_width(tokens.default_path())
+    pieces = defaultdict(dict)
+    used = 0
+    assert len(packed) == len(rows)
+    for p in packed:
+        ids, r = np.frombuffer(p["ids"], f"<u{width}"), rows[p["sequence_id"]]
+        cuts = r["cu_seqlens"]
+        assert len(ids) == 2048 and cuts[0] == 0 and cuts[:-1] == r["position_resets"] and cuts[-1] == r["n_tokens"] and (ids[cuts[-1] :] == 0).all()
+        assert r["ids_crc32"] == zlib.crc32(p["ids"])
+        used += cuts[-1]
+        for d, s, a, b in zip(r["doc_ids"], r["starts"], cuts, cuts[1:], strict=False):
+            assert s not in pieces[d]
+            pieces[d][s] = ids[a:b].tolist()
+    for i, t in texts().items():
+        assert [x for s in sorted(pieces[i]) for x in pieces[i][s]] == full_ids(t)
+    assert used / (2048 * len(rows)) > 0.9
+
+
 def test_word_pieces(spark, docs, none):
     vocabulary = set(map(tuple, wordpiece.vocabulary(tokens.default_path()))) | {(i,) for i in range(512)}
 
@@ -307,10 +457,11 @@ def test_word_pieces(spark, docs, none):
         return n
 
     got = {r["doc_id"]: r for r in queries.op7_token_counts(spark, SF).collect()}
-    for i, t in list(texts().items())[:40]:
+    for i, t in texts().items():
         found = [w.encode() for w in wordpiece.WORDS.findall(t.lower())]
         assert (got[i]["n_words"], got[i]["n_pieces"]) == (len(found), sum(map(brute, found)))
-    assert wordpiece.token_counts(docs, tokens.default_path()).count() == len(ODD)
+    odd = wordpiece.token_counts(docs, tokens.default_path()).collect()
+    assert len(odd) == len(ODD) and {r["doc_id"]: r["n_words"] for r in odd if r["doc_id"] in (1, 2, 3, 4, 6, 7)} == {1: 0, 2: 0, 3: 0, 4: 2, 6: 60_000, 7: 1}
     assert wordpiece.token_counts(none, tokens.default_path()).count() == 0
 
 
@@ -331,10 +482,50 @@ def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     rows = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(rows, bench).collect()}
-    assert got == {(1, 0), (2, 0), (3, 0), (5, 1), (10, 1)}
+    assert got == {(1, 0), (2, 0), (3, 0), (5, 1), (6, 2), (10, 1)}  # item 2 has three words and is all of document 6
     cfg = decontaminate.SeedConfig(block_bytes=64)
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(rows, bench, cfg).collect()} == got
+    both = [sorted(map(tuple, decontaminate.contaminated(rows, bench, c).collect())) for c in (decontaminate.SeedConfig(), cfg)]
+    assert both[0] == both[1]
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == decontaminate.contaminated(none, bench).count() == 0
+    assert decontaminate.contaminated(none, bench, cfg).count() == 0
+
+
+def test_decontamination_odd_rows(spark, docs):
+    """Null and repeated ids, equal items, items under five words, and stages by row."""
+    long = "a1 a2 a3 a4 a5 a6 a7 a8 a9 b1 b2 b3 b4 b5"
+    bench = spark.createDataFrame([(1, long), (1, long), (None, "One, two"), (7, ""), (8, None)], "item_id long, text string")
+    extra = docs.unionByName(spark.createDataFrame([(None, long, "x", 1), (4, long, "x", 1)], docs.schema))
+    for cfg in (decontaminate.SeedConfig(), decontaminate.SeedConfig(block_bytes=0)):
+        got = sorted(map(str, (tuple(r) for r in decontaminate.contaminated(extra, bench, cfg).collect())))
+        assert got == sorted(map(str, [(None, 1, 0, 14, 14), (4, 1, 0, 14, 14), (4, None, 0, 2, 2), (5, None, 0, 2, 2), (None, None, 0, 2, 2)]))
+        kept = decontaminate.drop_contaminated(extra, bench, cfg)
+        assert kept.columns == extra.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "6", "7", "8", "8"]
+
+
+def test_op8_rows_equal_brute_force(spark):
+    """Every column of the query: all alignments of all items with all documents, word by word."""
+    def plain(text):
+        return re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[!-/:-@\[-`{-~]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+
+    items = {r["item_id"]: plain(r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()}
+    number = defaultdict(lambda: len(number))
+    codes = {k: np.array([number[w] for w in plain(t)]) for k, t in texts().items()}
+    want = {}
+    for i, words in items.items():
+        item = np.array([number[w] for w in words])
+        size = min(13, len(item))
+        for d, own in codes.items():
+            if not np.isin(own, item).sum() * 13 >= size * 10:
+                continue
+            for shift in range(size - len(item), len(own) - size + 1):
+                first, last = max(shift, 0), min(shift + len(item), len(own))
+                equal = own[first:last] == item[first - shift : last - shift]
+                sums = np.concatenate(([0], np.cumsum(equal)))
+                if last - first >= size and (sums[size:] - sums[:-size]).max() * 13 >= size * 10:
+                    best = (int(sums[-1]), last - first, -first)
+                    want[d, i] = max(want.get((d, i), best), best)
+    got = {(r["doc_id"], r["item_id"]): (r["n_equal"], r["n_words"], -r["first_word"]) for r in queries.op8_decontaminate(spark, SF).collect()}
+    assert got == want and len(want) > 0
 
 
 def test_masks_hit_every_overlap():
@@ -357,3 +548,47 @@ def test_quality(spark, docs, none):
     assert quality.classify(docs, few).count() == len(ODD)
     assert quality.classify(docs, few.limit(0)).select("predicted").distinct().collect()[0][0] == 1
     assert quality.classify(none, few).count() == 0
+
+
+def test_trees_equal_plain_walk_and_search(spark):
+    """The flattened trees score like a walk of each row, and the first split is the best of a plain search."""
+    docs = [t.encode() for t in texts().values()]
+    x = np.array([quality.statistics(t) for t in docs])
+    y = (x[:, 0] > np.median(x[:, 0])).astype(float) * (np.arange(len(x)) % 7 > 0)
+    cfg = quality.TreeConfig(rounds=6)
+    trees = quality.fit(x, y, cfg)
+
+    def walk(row):
+        total = trees.base
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + math.exp(-total))
+
+    assert np.allclose(trees.score(x), [walk(r) for r in x], atol=1e-12)
+    grad, hess = y - y.mean(), np.full(len(y), y.mean() * (1 - y.mean()))
+    best = (0.0, None, None)
+    for f in range(x.shape[1]):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, cfg.bins + 1)[1:-1])):
+            left = x[:, f] <= cut
+            if min(hess[left].sum(), hess[~left].sum()) * 4 >= cfg.least:
+                gain = sum(grad[m].sum() ** 2 / (hess[m].sum() + cfg.l2) for m in (left, ~left)) - grad.sum() ** 2 / (hess.sum() + cfg.l2)
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, cut)
+    assert (trees.feature[0, 0], trees.cut[0, 0]) == best[1:]
+
+
+def test_op9_rows_equal_scores_one_by_one(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trees = quality.learn(docs, labels)
+    for r in quality.classify(docs, labels).collect():
+        one = trees.score(np.array([quality.statistics(texts_()[r["doc_id"]].encode())]))[0]
+        assert math.isclose(r["score"], one, abs_tol=1e-12) and r["predicted"] == (one >= 0.3)
+
+
+@functools.cache
+def texts_():
+    return texts()

@@ -62,3 +62,27 @@ def test_run_and_empty_table(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, null, empty and very long texts, ties, and columns whose names clash: stages decide by row and return all columns."""
+    item = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()[0]["text"]
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words[:100], "zz", *words[101:]])
+    rows = [(None, item), (1, item), (1, "a clean text of its own, nothing else"), (2, " ".join(words)), (2, near), (3, None), (3, ""), (None, ""), (4, "y" * 300_000 + " end"), (5, "same text"), (5, "same  text"), (None, "same text")]
+    columns = ["doc_id long", "text string", "lang string", "source string", "n_chars long", "__score double", "row long", "place string", "`a.b` int", "maybe int", "digest string"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 7.0, k, "p", k, 0, "d") for k, (i, t) in enumerate(rows)], ", ".join(columns))
+    stages = dict(corpus_pipeline.STAGES)
+    #: Rows that stay; of a tuple one does.
+    want = {"exact_dedup": {1, 2, 3, 4, (5, 6), 8, (9, 10)}, "minhash": {1, 2, (3, 4), 5, 6, 7, 8, (9, 10)}, "decontaminate": set(range(2, 12))}
+    for name, keep in want.items():
+        out = stages[name](spark, df, SF)
+        assert out.columns == df.columns
+        got = out.collect()
+        rows_ = {r["row"] for r in got}
+        assert len(got) == len(keep) and all(len(rows_ & set(k if isinstance(k, tuple) else (k,))) == 1 for k in keep), name
+        assert {r["__score"] for r in got} == {7.0} and all(r["a.b"] == r["row"] for r in got)
+    kept = stages["quality"](spark, df, SF)
+    assert kept.columns == df.columns and {r["__score"] for r in kept.collect()} <= {7.0}
+    pieces = stages["pack"](spark, df, SF).collect()
+    assert {r["doc_id"] for r in pieces} == {None, 1, 2, 3, 4, 5} and len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
