@@ -1,13 +1,13 @@
 """Documents to training sequences: quality, exact and near duplicates, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before wrote, and all but the last
-return the columns of documents. A row without doc_id passes the stages that decide by id.
+return the columns of documents. Stages decide about rows, not ids: a row without a doc_id, or with one that other
+rows have too, is a document of its own. Any further columns, whatever their names, come out unchanged.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparquill.llm import common, decontaminate, exact, minhash, packing, quality, tokens
 from sparquill.sources.tables import spread
@@ -17,22 +17,22 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The documents that the classifier predicts to be good, or is given no labels to doubt."""
     cfg = quality.TreeConfig()
     trees = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), cfg)
-    return quality.score(docs, trees, keep=True).filter(F.col("__score") >= cfg.threshold).select(*docs.columns)
+    return quality.drop_below(docs, trees, cfg.threshold)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact.drop_exact_duplicates(docs)
+    """Of equal texts the row with the smallest doc_id stays."""
+    return exact.drop_exact_duplicates(docs, scan=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id")
-    return _without(docs, gone, "near_copies")
+    """The row with the smallest doc_id of each group stays."""
+    return minhash.drop_near_duplicates(docs, scan=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id").distinct(), "contaminated")
+    """Rows with a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scan=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +40,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.concat_and_cut(docs, tokens.default_path())
 
 
-def _without(docs: DataFrame, gone: DataFrame, label: str, broadcast_ids: int = 500_000) -> DataFrame:
-    """docs without some ids: these are sent to all tasks if few, else both sides are shuffled."""
-    gone = common.materialize(gone, label)
-    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "doc_id", "left_anti").select(*docs.columns)
-
-
 STAGES = [
     ("quality", drop_low_quality),
     ("exact_dedup", drop_copies),
