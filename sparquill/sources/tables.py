@@ -30,10 +30,14 @@ SCHEMAS = {
 def spread(rows: DataFrame) -> DataFrame:
     """The rows of a table's scan over all cores, for costly work on each row.
 
-    A scan with as many partitions as cores is left as it is. One with fewer, such as a single small file, is dealt out.
+    A scan with as many partitions as cores is left as it is. One with fewer, such as a single small file, is dealt out,
+    unless the session sets spark.sparquill.spread to false.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    session = rows.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    if session.conf.get("spark.sparquill.spread", "true") != "true" or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
