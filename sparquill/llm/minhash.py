@@ -7,11 +7,12 @@ registers, and two registers agree more often the more two sets overlap. Bands o
 propose candidates, the joint likelihood of the two register vectors rejects most false
 ones, and the full sets decide.
 
-Large groups need no pairs within. Equal sets are one node. Every member of a bucket is compared
-with the bucket's leader: first with its likeliest leader alone, which connects most of a group by
-one comparison a member, then with those leaders whose group it is not yet in. Only what two
-members outside of one group, neither of them a leader, may still have in common is compared further,
-in blocks of bounded size that emit no more links than connect what is linked.
+Large groups need no pairs within. Equal sets are one node. A bucket's smallest member is its leader.
+The full sets of each member and its two likeliest leaders are compared, which links most of a group
+by one comparison a member. The estimates alone then say outside of which wider groups no link can be:
+members are compared with their other leaders, and what is in no group of its leader with all in its bucket. Only
+where such a wider group is not one by links yet are all its full sets compared, in blocks of bounded size
+that emit no more links than connect what is linked.
 """
 
 from __future__ import annotations
@@ -330,31 +331,49 @@ def _open_members(members: DataFrame, label: DataFrame) -> DataFrame:
 def node_groups(docs: DataFrame, nodes: DataFrame, cfg: SketchConfig = SketchConfig()) -> DataFrame:
     """id, component (the smallest id reachable over links) for the nodes (id, place, n, sketch) that have a link; docs: place, text."""
     members = buckets(nodes, cfg)
-    close = C.materialize(estimated(members.filter("a <> b").select("a", "b").distinct(), members.count(), nodes, cfg), "close")
-    total = close.count()
-    stars = close.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a"))
-    label = components(confirmed(stars, total, docs, nodes, cfg))
-
-    # Leaders that are close to a member but not in its group yet.
-    la = label.select(F.col("id").alias("a"), F.col("component").alias("la"))
-    lb = label.select(F.col("id").alias("b"), F.col("component").alias("lb"))
-    more = C.join_salted(close.join(stars, ["a", "b"], "left_anti").join(lb, "b", "left"), la, "a", total, "left")
-    more = C.materialize(more.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "apart")
-    if not more.isEmpty():
-        label = _joined(label, confirmed(more, more.count(), docs, nodes, cfg))
-
-    rest = _open_members(members, label)
-    if rest.isEmpty():
-        return label
-    work = F.col("o") * (F.col("o") + F.col("i"))
-    x, y = rest.filter((work <= cfg.small) & F.col("outlier")).alias("x"), rest.filter(work <= cfg.small).alias("y")
-    few = x.join(y, "key").filter("x.group <> y.group and (x.id < y.id or not y.outlier)").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    few = C.materialize(estimated(few.distinct(), rest.count() * cfg.small, nodes, cfg).select("a", "b"), "few")
-    links = confirmed(few, few.count(), docs, nodes, cfg)
-    crowds = rest.filter(work > cfg.small).select("key", "id", "outlier", "o", "i")
-    if not crowds.isEmpty():
-        links = links.unionByName(block_links(components(_close_pairs(crowds, nodes, cfg)), docs, nodes, cfg))
-    return _joined(label, links)
+    pairs = C.materialize(members.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    total, most = pairs.count(), nodes.count()
+
+    def likeliest(found: DataFrame) -> DataFrame:
+        """Each member with the leader it shares most buckets with."""
+        return found.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+
+    def apart(found: DataFrame, groups: DataFrame) -> DataFrame:
+        """Those of the pairs whose ends are in different groups."""
+        la = groups.select(F.col("id").alias("a"), F.col("component").alias("la"))
+        lb = groups.select(F.col("id").alias("b"), F.col("component").alias("lb"))
+        both = C.join_salted(found.join(lb, "b", "left"), la, "a", total, "left")
+        return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "shared")
+
+    # Links: two leaders at most for each member.
+    first = likeliest(pairs)
+    close = C.materialize(estimated(first, most, nodes, cfg), "close")
+    label = components(confirmed(close, close.count(), docs, nodes, cfg))
+    others = C.materialize(apart(pairs.join(first, ["a", "b"], "left_anti"), label), "others")
+    close_too = C.materialize(estimated(likeliest(others), most, nodes, cfg), "close")
+    if not close_too.isEmpty():
+        label = _joined(label, confirmed(close_too, close_too.count(), docs, nodes, cfg))
+
+    # Groups outside of which no node has a link, by the estimates.
+    wide = components(close.unionByName(close_too).select("a", "b").unionByName(label.select(F.col("component").alias("a"), F.col("id").alias("b"))))
+    more = C.materialize(apart(others, wide), "apart")
+    close = C.materialize(estimated(more, more.count(), nodes, cfg), "close")
+    wide = wide if close.isEmpty() else _joined(wide, close)
+    rest = _open_members(members, wide)
+    if not rest.isEmpty():
+        work = F.col("o") * (F.col("o") + F.col("i"))
+        x, y = rest.filter((work <= cfg.small) & F.col("outlier")).alias("x"), rest.filter(work <= cfg.small).alias("y")
+        few = x.join(y, "key").filter("x.group <> y.group and (x.id < y.id or not y.outlier)").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        few = C.materialize(few.distinct(), "few")
+        close = estimated(few, few.count(), nodes, cfg).select("a", "b")
+        crowds = rest.filter(work > cfg.small).select("key", "id", "outlier", "o", "i")
+        wide = _joined(wide, close.unionByName(_close_pairs(crowds, nodes, cfg)))
+
+    # Such groups with several groups of links: all members, in blocks.
+    inside = wide.join(label.select("id", F.col("component").alias("linked")), "id", "left").withColumn("linked", F.coalesce("linked", "id"))
+    several = inside.groupBy("component").agg(F.min("linked").alias("g0"), F.max("linked").alias("g1")).filter("g0 <> g1").select("component")
+    several = C.materialize(C.join_salted(inside.select("id", "component"), several, "component", most), "several")
+    return label if several.isEmpty() else _joined(label, block_links(several, docs, nodes, cfg))
 
 
 def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
