@@ -28,6 +28,7 @@ KINDS = (
 #: The order in which kinds are selected (fixed values).
 PRIORITY = {"abstract": 0, "problem": 1, "method": 2, "implementation": 2, "evaluation": 3, "results": 3, "discussion": 4, "appendix": 5, "other": 9}
 
+# Fixed patterns of options, headings and, below, of environments, abstracts, pseudo-headings and what cleaned() removes.
 _OPTION = r"\*?(?:\[[^\]]*\])?"
 _HEADING = r"\\(?:section|subsection|subsubsection|paragraph)\*?(?:\[[^\]]*\])?\{([^{}]{1,220})\}"
 _MARK, _END = "\u0001", "\u0002"

@@ -27,11 +27,37 @@ def experiment_label(c: Column) -> Column:
     return F.regexp_replace(c, r"^(.+?)_\d{4}(\d{2})(\d{2})_\d{6}$", "$1 $2/$3")
 
 
-def model_label(path: Column, otherwise: Column) -> Column:
-    """The path's segment before the first segment rl, else the other value."""
+def label_timestamp(c: Column) -> Column:
+    """The first _YYYYMMDD_HHMMSS of a label without its dash, empty without one."""
+    return F.regexp_extract(c, r"_(\d{8}_\d{6})", 1)
+
+
+def label_base(c: Column) -> Column:
+    """A label without any _YYYYMMDD_HHMMSS."""
+    return F.regexp_replace(c, r"_\d{8}_\d{6}", "")
+
+
+def experiment_number(path: Column, otherwise: Column) -> Column:
+    """expNN of a path, else the first word of the other value."""
+    found = F.regexp_extract(path, r"(exp\d{2})", 1)
+    return F.when(found != "", found).otherwise(F.split(F.trim(otherwise), r"\s+")[0])
+
+
+def model_label(path: Column, otherwise: Column, is_api: Column | None = None, api_model: Column | None = None) -> Column:
+    """The path's segment before the first segment rl, else the other value; for hosted models their name, else api."""
     parts = F.split(path, "/")
     at = F.array_position(parts, "rl")
-    return F.when(at > 1, F.element_at(parts, (at - 1).cast("int"))).otherwise(otherwise)
+    own = F.when(at > 1, F.element_at(parts, (at - 1).cast("int"))).otherwise(otherwise)
+    if is_api is None:
+        return own
+    name = F.coalesce(api_model, F.lit(""))
+    return F.when(F.coalesce(is_api, F.lit(False)), F.when(name == "", "api").otherwise(name)).otherwise(own)
+
+
+def model_order(label: Column) -> Column:
+    """A sort key: expN by number, then all other labels."""
+    number = F.regexp_extract(label, r"^exp(\d+)", 1)
+    return F.struct((number == "").alias("other"), F.coalesce(number.try_cast("int"), F.lit(0)).alias("number"), label.alias("label"))
 
 
 def strategy(label: Column) -> Column:
@@ -51,43 +77,109 @@ def device_numbers(spec: Column) -> Column:
 
 
 def slots(spec: Column) -> Column:
-    """An array of (machine, device) from machine:spec;machine:spec."""
+    """An array of (machine, device) from machine:spec;machine:spec; an entry without a colon or machine, or a device that is no number, is an error."""
     chunks = F.filter(F.transform(F.split(spec, ";"), F.trim), lambda x: x != "")
 
     def each(chunk: Column) -> Column:
         machine = F.trim(F.substring_index(chunk, ":", 1))
-        return F.transform(device_numbers(F.substring_index(chunk, ":", -1)), lambda d: F.struct(machine.alias("machine"), d.alias("device")))
+        devices = device_numbers(F.regexp_extract(chunk, r"^[^:]*:(.*)$", 1))
+        bad = ~F.contains(chunk, F.lit(":")) | (machine == "") | F.exists(devices, lambda d: d.isNull())
+        checked = F.when(bad, F.raise_error(F.concat(F.lit("bad slot entry: "), chunk)).cast("array<int>")).otherwise(devices)
+        return F.transform(checked, lambda d: F.struct(machine.alias("machine"), d.alias("device")))
 
     return F.flatten(F.transform(chunks, each))
 
 
+#: Terminal controls and carriage returns (a fixed pattern).
+CONTROLS = "\u001b\\[[0-9;]*[mABCDEFGHJKSTfsu]|\r"
+
+
 def plain_line(c: Column) -> Column:
     """Without terminal colours and carriage returns."""
-    return F.regexp_replace(c, "\u001b\\[[0-9;]*[mABCDEFGHJKSTfsu]|\r", "")
+    return F.regexp_replace(c, CONTROLS, "")
 
 
-def metrics(line: Column) -> Column:
-    """The first {...} of a line, JSON or a dict literal, as a map of doubles; null without one."""
+_MAP, _STRICT = "map<string,string>", {"allowSingleQuotes": "false"}
+
+
+def _json_metrics(line: Column) -> Column:
+    """A line that is a JSON object as a map of its texts; null where it isn't one."""
+    return F.when(F.startswith(line, F.lit("{")), F.from_json(line, _MAP, _STRICT))
+
+
+def _dict_metrics(line: Column) -> Column:
+    """The first {...} without inner braces as a map of texts: JSON as it is, else a dict literal with its quotes and constants normalised."""
     body = F.regexp_extract(line, r"(\{[^{}]+\})", 1)
-    text = F.regexp_replace(F.regexp_replace(body, "'", '"'), r"\b(?:nan|None)\b", "null")
-    return F.when(body != "", F.transform_values(F.from_json(text, "map<string,string>"), lambda _, v: v.try_cast("double")))
+    text = body
+    for old, new in ((r"'", '"'), (r"\bNone\b|\bnan\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false")):
+        text = F.regexp_replace(text, old, new)
+    return F.when(body != "", F.coalesce(F.from_json(body, _MAP, _STRICT), F.from_json(text, _MAP)))
+
+
+def _doubles(found: Column) -> Column:
+    return F.transform_values(found, lambda _, v: v.try_cast("double"))
+
+
+def _has(found: Column, keys: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for k in keys:
+        out = out | F.coalesce(F.map_contains_key(found, F.lit(k)), F.lit(False))
+    return out
+
+
+def metrics(line: Column) -> Column:
+    """A JSON line, else the first {...} of a line, as a map of doubles; null without one."""
+    return _doubles(F.coalesce(_json_metrics(line), _dict_metrics(line)))
 
 
 def first_metric(found: Column, keys: tuple[str, ...]) -> Column:
     """The value of the first key that is there; a zero counts."""
-    return F.coalesce(*(F.try_element_at(found, F.lit(k)) for k in keys))
+    out = F.when(F.lit(False), F.lit(0.0))
+    for k in keys:
+        out = out.when(_has(found, (k,)), F.try_element_at(found, F.lit(k)))
+    return out
 
 
 def reward(line: Column) -> Column:
-    """The reward of a JSON line, a dict literal, or a console line of key:value pairs."""
-    console = F.regexp_extract(line, r"critic/rewards/mean:([-\d.eE+]+)", 1).try_cast("double")
-    return F.when(F.contains(line, F.lit("step:")) & ~F.startswith(line, F.lit("{")), console).otherwise(first_metric(metrics(line), REWARD_KEYS))
+    """The reward of a line: a JSON line's, else that of key:value pairs of the console, else that of a dict literal."""
+    whole = _json_metrics(line)
+    console = F.contains(line, F.lit("step:")) & F.contains(line, F.lit("critic/rewards/mean:"))
+    value = F.regexp_extract(line, r"critic/rewards/mean:([-\d.eE+]+)", 1).try_cast("double")
+    return F.when(whole.isNotNull(), first_metric(_doubles(whole), REWARD_KEYS)).when(console, value).otherwise(first_metric(_doubles(_dict_metrics(line)), REWARD_KEYS))
 
 
 def loss(line: Column) -> Column:
-    """The loss of a line that has no reward."""
-    found = metrics(line)
-    return F.when(first_metric(found, ("reward",)).isNull(), first_metric(found, LOSS_KEYS))
+    """The loss of a JSON line, else that of a dict literal that has no reward."""
+    whole, found = _json_metrics(line), _dict_metrics(line)
+    return F.when(whole.isNotNull(), first_metric(_doubles(whole), LOSS_KEYS)).when(~_has(found, ("reward",)), first_metric(_doubles(found), LOSS_KEYS))
+
+
+def last_match(lines: Column, pattern: str) -> Column:
+    """The first group of a pattern in the last line that has it, as a number."""
+    hits = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
+    return F.try_element_at(hits, F.lit(-1)).try_cast("double")
+
+
+def test_accuracy(lines: Column) -> Column:
+    """test_acc of the last line that reports TEST_METRICS."""
+    return last_match(lines, r"TEST_METRICS:.*test_acc=([\d.]+)")
+
+
+def percent(share: Column) -> Column:
+    """A share as a percentage with one decimal; a dash for null."""
+    return F.coalesce(F.format_string("%.1f%%", share * 100), F.lit("\u2014"))
+
+
+def size_text(size: Column) -> Column:
+    """Bytes as thousands or millions with one decimal."""
+    return F.when(size > 1e6, F.format_string("%.1fM", size / 1e6)).otherwise(F.format_string("%.1fK", size / 1e3))
+
+
+def bar(share: Column, width: int = 20) -> Column:
+    """A share as a bar of full and empty blocks and a percentage; NaN as an empty bar."""
+    full = F.greatest(F.lit(0), F.least(F.lit(width), F.rint(share * width).cast("int")))
+    drawn = F.concat(F.repeat(F.lit("\u2588"), full), F.repeat(F.lit("\u2591"), width - full), F.lit(" "), F.format_string("%4.1f", share * 100), F.lit("%"))
+    return F.when(F.isnan(share), F.concat(F.repeat(F.lit("\u2591"), F.lit(width)), F.lit(" NaN"))).otherwise(drawn)
 
 
 def progress(line: Column) -> Column:

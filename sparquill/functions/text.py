@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: The opening tags of a structured answer (fixed values).
 ANSWER_TAGS = ("<problem>", "<gap>", "<key_insight>", "<approach>", "<expected_contributions>")
+#: The tags that a full answer has, opened and closed (fixed values).
+REQUIRED_TAGS = ("problem", "gap", "core_idea", "implementation_plan", "algorithm_or_system", "training_or_data_recipe", "evaluation_plan", "expected_results", "risks_and_limitations")
+#: The tags that a preview shows (fixed values).
+PREVIEW_TAGS = ("title", "problem", "approach", "novelty", "experiment")
 #: Keywords of the text quality flags (fixed values).
 IMPLEMENTATION_TERMS = ("implement", "train", "dataset", "algorithm", "baseline", "metric")
 EVALUATION_TERMS = ("evaluate", "baseline", "ablation", "metric", "benchmark")
@@ -104,7 +108,7 @@ def clean_title(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"^\s*\d{4}\s*\.\s*", ""), r"^[\s.,;:]+", "")
 
 
-def quality(c: Column, tags: tuple[str, ...]) -> Column:
+def quality(c: Column, tags: tuple[str, ...] = REQUIRED_TAGS) -> Column:
     """word_count, has_all_tags and two keyword flags of a text's answer block."""
     own = block(c, "proposal")
     low = F.lower(own)
@@ -117,3 +121,16 @@ def quality(c: Column, tags: tuple[str, ...]) -> Column:
         return F.regexp_like(low, F.lit("|".join(terms)))
 
     return F.struct(F.size(words(own)).alias("word_count"), every.alias("has_all_tags"), some(IMPLEMENTATION_TERMS).alias("implementation"), some(EVALUATION_TERMS).alias("evaluation"))
+
+
+def tail(c: Column, limit: int = 20_000) -> Column:
+    """The last characters of a text over limit, after a note; a note alone for an empty one."""
+    cut_ = F.concat(F.lit(f"[...truncated, showing last {limit} chars...]\n\n"), F.right(c, F.lit(limit)))
+    return F.when(F.length(c) > limit, cut_).when(empty(c), "(empty)").otherwise(c)
+
+
+def named_blocks(c: Column, tags: tuple[str, ...] = PREVIEW_TAGS) -> Column:
+    """The first block of each tag that a text has under its tag, a line each; without any, the text without its thinking."""
+    found = [F.when(F.regexp_like(c, F.lit(f"(?s)<{t}>.*?</{t}>")), F.concat(F.lit(f"<{t}>\n"), strip(F.regexp_extract(c, f"(?s)<{t}>(.*?)</{t}>", 1)), F.lit("\n"))) for t in tags]
+    joined = F.concat_ws("\n", *found)
+    return F.when(joined != "", joined).otherwise(strip(F.regexp_replace(c, "(?s)<thinking>.*?</thinking>", "")))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 
-#: Reference texts up to this many characters are sent to all tasks; more are joined by a shuffle.
-BROADCAST_CHARS = 50_000_000
+#: Distinct words of all reference texts, each counted once a text, up to which they are sent to all tasks.
+MATRIX_ROWS = 2_000_000
+#: Cells of the matrix of texts and references that a task holds at once.
+CELLS = 4_000_000
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,17 +29,79 @@ def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
 def closest(rows: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
     """key, ref_key, similarity, flagged for every row; null and 0 where no word is shared; ties go to the smallest ref_key.
 
-    The word counts of both sides join on the word, and the products are summed for each pair before they
-    are shuffled. Dots and norms are whole numbers, so results do not depend on the order of summing.
+    The references' word counts go to all tasks as a sparse matrix, and each task keeps the best of its own texts: nothing is
+    shuffled. Where they are too many for that, both sides' counts join on the word. Dots and norms are whole numbers, so
+    results do not depend on the order of summing.
     """
-    own = term_counts(rows, key, text)
     other = term_counts(references, ref_key, text).withColumnRenamed("n", "m")
+    found = other.limit(MATRIX_ROWS + 1).toArrow()
+    if found.num_rows > MATRIX_ROWS:
+        out = _closest_by_join(rows, other, key, ref_key, text)
+    else:
+        out = _closest_by_matrix(rows, found, key, ref_key, text)
+    return out.withColumn("flagged", F.col("similarity") > threshold)
+
+
+class _Matrix:
+    """Word counts of references: for each word its references and counts."""
+
+    def __init__(self, found: pa.Table, ref_key: str) -> None:
+        item, m = found.column(ref_key).to_numpy(), found.column("m").to_numpy()
+        self.items, number = np.unique(item, return_inverse=True)
+        self.norms = np.bincount(number, m * m, len(self.items)) if len(m) else np.zeros(0)
+        codes = found.column("token").combine_chunks().dictionary_encode()
+        codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+        order = np.argsort(codes.indices.to_numpy(), kind="stable")
+        self.tokens = codes.dictionary
+        self.sizes = np.bincount(codes.indices.to_numpy(), minlength=len(self.tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.number, self.m = number[order], m[order]
+
+    def best(self, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the closest reference of each text in items, -1 for none, and the similarity."""
+        n_items, n_texts = len(self.items), len(tokens)
+        codes = tokens.flatten().dictionary_encode()
+        text = np.repeat(np.arange(n_texts), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        width = max(1, len(codes.dictionary))
+        pairs, n = np.unique(text * width + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        text, code = pairs // width, pairs % width
+        own = np.bincount(text, n * n, n_texts)
+        known = pc.fill_null(pc.index_in(codes.dictionary, value_set=self.tokens), -1).to_numpy(zero_copy_only=False) if len(codes.dictionary) else np.zeros(0, int)
+        token = known[code] if len(known) else np.zeros(0, int)
+        text, token, n = text[token >= 0], token[token >= 0], n[token >= 0]
+        size = self.sizes[token]
+        at = np.repeat(self.starts[token] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        dots = np.bincount(np.repeat(text, size) * n_items + self.number[at], np.repeat(n, size) * self.m[at], n_texts * n_items).reshape(n_texts, n_items)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            similar = np.where(dots > 0, dots / (np.sqrt(own)[:, None] * np.sqrt(self.norms)[None, :]), 0.0)
+        best = similar.argmax(1)
+        top = similar[np.arange(n_texts), best]
+        return np.where(top > 0, best, -1), top
+
+
+def _closest_by_matrix(rows: DataFrame, found: pa.Table, key: str, ref_key: str, text: str) -> DataFrame:
+    kind, ref_kind = rows.schema[key].dataType.simpleString(), pa.int64()
+    if not found.num_rows:
+        return rows.select(key, F.lit(None).cast("long").alias(ref_key), F.lit(0.0).alias("similarity"))
+    shared = rows.sparkSession.sparkContext.broadcast(_Matrix(found, ref_key))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = shared.value
+        share = max(1, min(128, CELLS // len(matrix.items)))
+        for big in it:
+            for at in range(0, big.num_rows, share):
+                batch = big.slice(at, share)
+                best, top = matrix.best(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matrix.items[best], ref_kind, mask=best < 0), pa.array(top)], [key, ref_key, "similarity"])
+
+    return rows.select(key, words(F.col(text)).alias("words")).mapInArrow(run, f"{key} {kind}, {ref_key} long, similarity double")
+
+
+def _closest_by_join(rows: DataFrame, other: DataFrame, key: str, ref_key: str, text: str) -> DataFrame:
+    own = term_counts(rows, key, text)
     norms = own.groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias("own_norm"))
     ref_norms = other.groupBy(ref_key).agg(F.sum(F.col("m") * F.col("m")).alias("ref_norm"))
-    small = (references.agg(F.sum(F.length(text))).first()[0] or 0) <= BROADCAST_CHARS
-    hint = F.broadcast if small else (lambda df: df)
-    dots = own.join(hint(other), "token").groupBy(key, ref_key).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    scored = dots.join(norms, key).join(hint(ref_norms), ref_key).withColumn("s", F.col("dot") / (F.sqrt("own_norm") * F.sqrt("ref_norm")))
+    dots = own.join(other, "token").groupBy(key, ref_key).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    scored = dots.join(norms, key).join(ref_norms, ref_key).withColumn("s", F.col("dot") / (F.sqrt("own_norm") * F.sqrt("ref_norm")))
     best = scored.groupBy(key).agg(F.max(F.struct("s", (-F.col(ref_key)).alias("r"))).alias("b"))
-    out = rows.select(key).join(best, key, "left").select(key, (-F.col("b.r")).alias(ref_key), F.coalesce("b.s", F.lit(0.0)).alias("similarity"))
-    return out.withColumn("flagged", F.col("similarity") > threshold)
+    return rows.select(key).join(best, key, "left").select(key, (-F.col("b.r")).alias(ref_key), F.coalesce("b.s", F.lit(0.0)).alias("similarity"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.prompts import seeded_order
+from ..functions.runs import experiment_number, label_base, label_timestamp
 from ..functions.text import empty
 
 
@@ -92,3 +93,112 @@ def numbered_prefix(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
     """Rows whose ordinals run from 0 without a gap, up to the first gap of their key."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(ordinal)) - 1
     return rows.withColumn("__n", n).filter(F.col("__n") == F.col(ordinal)).drop("__n")
+
+
+def row_at(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The row with ordinal n (from 0) in an order: a limit on the sort, not a number for every row."""
+    return rows.orderBy(*order).offset(n).limit(1)
+
+
+def overlaid(rows: DataFrame, cached: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """rows with the fields of the cached row of the same key where that has them; fields that rows lacks are added."""
+    own = cached.select(F.col(key), *(F.col(f).alias(f"__{f}") for f in fields))
+    joined = rows.join(own, key, "left")
+    return joined.withColumns({f: F.coalesce(f"__{f}", f) if f in rows.columns else F.col(f"__{f}") for f in fields}).drop(*(f"__{f}" for f in fields))
+
+
+def first_found(keys: DataFrame, key: str, value: str, *sources: DataFrame) -> DataFrame:
+    """keys with the value of the first source that has one for the key, and the source's number; null where none has."""
+    out = keys
+    for i, s in enumerate(sources):
+        out = out.join(s.select(key, F.col(value).alias(f"__{i}")), key, "left")
+    found = [F.when(F.col(f"__{i}").isNotNull(), F.lit(i)) for i in range(len(sources))]
+    return out.select(*keys.columns, F.coalesce(*(F.col(f"__{i}") for i in range(len(sources)))).alias(value), F.coalesce(*found).alias("source"))
+
+
+def aligned(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The columns named, with null of the given type for those that rows lacks."""
+    return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
+
+
+def matching_runs(rows: DataFrame, name: str, prefix: str = "", part: str = "") -> DataFrame:
+    """Rows whose name starts with prefix and contains part."""
+    return rows.filter(F.startswith(F.col(name), F.lit(prefix)) & F.contains(F.col(name), F.lit(part)))
+
+
+def to_relaunch(states: DataFrame, stuck: bool = False) -> DataFrame:
+    """Samples in error, and with stuck those still generating."""
+    return states.filter(F.col("step").isin("error", "generating") if stuck else F.col("step") == "error")
+
+
+def grid(rows: DataFrame, name: str, values: list) -> DataFrame:
+    """Every row with every value of a stated list, as machines with devices or checkpoints with strategies."""
+    return rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+
+
+def with_samples(runs: DataFrame, samples: DataFrame, key: str) -> DataFrame:
+    """Each run with its number of samples and those done, passed and in error; runs without samples have zeros."""
+    own = samples.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("step") == "done").alias("n_done"), F.count_if("passed").alias("n_passed"), F.count_if(F.col("step") == "error").alias("n_errors"))
+    counts = ["n", "n_done", "n_passed", "n_errors"]
+    return runs.join(own, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+
+
+def latest_summaries(rows: DataFrame) -> DataFrame:
+    """One row for each label without its timestamp and strategy: the latest timestamp, then most n_proposals, then the first path.
+
+    rows: label, strategy, n_proposals, path. A partial aggregate, so a label with very many runs is no burden.
+    """
+    keyed = rows.withColumns({"base": label_base(F.col("label")), "stamp": label_timestamp(F.col("label")), "strategy": F.coalesce("strategy", F.lit(""))})
+    inverse = F.struct("stamp", F.coalesce("n_proposals", F.lit(0)).alias("n"))
+    most = keyed.groupBy("base", "strategy").agg(F.max(inverse).alias("m"))
+    tied = keyed.join(most, ["base", "strategy"]).filter((F.col("stamp") == F.col("m.stamp")) & (F.coalesce("n_proposals", F.lit(0)) == F.col("m.n"))).drop("m")
+    return best_row(tied, ["base", "strategy"], F.col("path"))
+
+
+def latest_checkpoints(rows: DataFrame) -> DataFrame:
+    """One usable row for each experiment number: the latest timestamp of the path's first folder, then the greatest path. rows: name, path, usable."""
+    stamp = F.regexp_extract(F.split("path", "/")[0], r"_(\d{8}_\d{6})$", 1)
+    keyed = rows.filter("usable").withColumns({"experiment": experiment_number(F.col("path"), F.col("name")), "stamp": stamp})
+    rest = [c for c in keyed.columns if c != "experiment"]
+    best = keyed.groupBy("experiment").agg(F.max_by(F.struct(*rest), F.struct("stamp", "path")).alias("r"))
+    return best.select("experiment", *(f"r.{c}" for c in rest))
+
+
+def newest_matching(rows: DataFrame, prefixes: list[str]) -> DataFrame:
+    """For each prefix the newest row (name, path, mtime) whose name starts with it, else the newest that contains it; ties go to the smallest path."""
+    asked = F.filter(F.array(*map(F.lit, prefixes)), lambda p: F.contains(F.col("name"), p))
+    found = rows.select("name", "path", "mtime", F.explode(asked).alias("prefix"))
+    tier = F.when(F.startswith("name", F.col("prefix")), 0).otherwise(1)
+    best = found.groupBy("prefix").agg(F.min(F.struct(tier.alias("tier"), (-F.col("mtime")).alias("age"), "path", "name")).alias("b"))
+    return best.select("prefix", "b.name", "b.path", (-F.col("b.age")).alias("mtime"), "b.tier")
+
+
+def experiments(registered: DataFrame, found: DataFrame) -> DataFrame:
+    """label, path, part: all registered (label, path), then of what was found (name, path, mtime) elsewhere the newest of each name without its last two parts."""
+    others = found.join(registered.select("path"), "path", "left_anti")
+    parts = F.split("name", "_")
+    base = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 2), "_")).otherwise(F.col("name"))
+    newest = others.groupBy(base.alias("label")).agg(F.min(F.struct((-F.col("mtime")).alias("age"), "path")).alias("b"))
+    return registered.select("label", "path", F.lit(0).alias("part")).unionByName(newest.select("label", "b.path", F.lit(1).alias("part")))
+
+
+def step_numbers(traces: DataFrame) -> DataFrame:
+    """trace, ord, place, name, step: the tool calls of traces (trace, ord, type, content: array of type and name) numbered from 1 in each trace.
+
+    A trace's calls, without their inputs, are sorted in one task, on disk if need be.
+    """
+    calls = traces.filter("type = 'assistant'").select("trace", "ord", F.posexplode("content").alias("place", "b")).filter("b.type = 'tool_use'")
+    step = F.row_number().over(Window.partitionBy("trace").orderBy("ord", "place"))
+    return calls.select("trace", "ord", "place", "b.name").withColumn("step", step)
+
+
+def cell_text(done: Column, passed: Column, errors: Column, mean: Column) -> Column:
+    """passed/done (mean with its sign), or the number of errors where none is done."""
+    sign = F.when(mean >= 0, "+").otherwise("")
+    some = F.concat(passed.cast("string"), F.lit("/"), done.cast("string"), F.lit(" ("), sign, F.format_string("%.2f", mean), F.lit("%)"))
+    return F.when(done > 0, some).otherwise(F.concat(F.lit("0/0 ("), errors.cast("string"), F.lit(" err)")))
+
+
+def nulls_last(rows: DataFrame, value: str, *ties: str) -> DataFrame:
+    """Rows in descending order of a value, null and NaN last."""
+    return rows.orderBy(F.nullif(F.col(value), F.lit(float("nan"))).desc_nulls_last(), *ties)

@@ -1,4 +1,4 @@
-"""Exact nearest vectors of a stated query set, in blocks."""
+"""Exact nearest vectors of a query set, in blocks, and scores of what is found."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Queries sent to the tasks at once.
 QUERY_BLOCK = 4096
+#: Queries and rows of the blocks that a larger query set is dealt into, in the mean three quarters of it.
+BLOCK = 8192
 #: Rows of a batch that are multiplied at once.
 ROWS = 4096
 
@@ -47,25 +49,47 @@ def _best(index: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, skip_se
 def top_k(index: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", skip_self: bool = True) -> DataFrame:
     """query, id, label, sim, rank: the k nearest rows of index by dot product, or all if it has fewer; ties go to the smallest id.
 
-    The query set is taken in blocks, each sent to all tasks; rows without a vector are not found. Similarities
-    are in double precision, rounded to nine places before they are ranked.
+    A query set of one block is sent to all tasks. A larger one is dealt, as the index is, into blocks: each block of queries meets
+    each block of the index once, and the best of every meeting are merged. Rows without a vector are not found.
+    Similarities are in double precision, rounded to nine places before they are ranked.
     """
     rows = index.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     own = queries.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-own.count() // (QUERY_BLOCK // 2)))
-    out = None
-    for b in range(blocks):
-        block = own.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        if not block and blocks > 1:
-            continue
+    block = own.limit(QUERY_BLOCK + 1).collect()
+    if len(block) <= QUERY_BLOCK:
         ids = np.array([r["id"] for r in block], np.int64)
-        matrix = np.array([r["v"] for r in block], np.float64).reshape(len(block), -1) if block else np.zeros((0, 0))
-        found = _best(rows, ids, matrix, k, skip_self) if block else rows.limit(0).selectExpr("id query", "id", "label", "0D sim")
-        out = found if out is None else out.unionByName(found)
+        out = _best(rows, ids, np.array([r["v"] for r in block], np.float64).reshape(len(block), -1), k, skip_self) if block else rows.limit(0).selectExpr("id query", "id", "label", "0D sim")
+    else:
+        out = _meetings(rows, own, k, skip_self)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _meetings(rows: DataFrame, own: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """query, id, label, sim: the k best of every query in every block of the index."""
+    n_own, n_rows = (max(1, -(-df.count() // (BLOCK * 3 // 4))) for df in (own, rows))
+    left = own.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("r"))
+    right = rows.select("id", "label", "v", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n_own - 1))).alias("q"))
+
+    def run(asked: pa.Table, there: pa.Table) -> pa.Table:
+        names = ["query", "id", "label", "sim"]
+        if not asked.num_rows or not there.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
+        (a, x), (b, y) = ((t.column("id").to_numpy(), t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)) for t in (asked, there))
+        labels, out = there.column("label").to_numpy(), []
+        for at in range(0, len(a), 256):
+            sims = np.round(x[at : at + 256] @ y.T, 9)
+            if skip_self:
+                sims[a[at : at + 256, None] == b[None, :]] = -np.inf
+            order = np.lexsort((np.broadcast_to(b, sims.shape), -sims))[:, :k]
+            best = np.take_along_axis(sims, order, 1)
+            good = best.ravel() > -np.inf
+            out.append([c[good] for c in (np.repeat(a[at : at + 256], order.shape[1]), b[order].ravel(), labels[order].ravel(), best.ravel())])
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    return left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(run, "query long, id long, label long, sim double")
+
+
 def retrieval_summary(hits: DataFrame, gold: DataFrame, k: int = 50) -> DataFrame:
     """query, top1_id, recall, mean_sim, retrieval_score; gold: query and the label that counts as a hit."""
     joined = hits.join(gold, "query")
@@ -75,3 +99,21 @@ def retrieval_summary(hits: DataFrame, gold: DataFrame, k: int = 50) -> DataFram
         F.round(F.avg("sim"), 4).alias("mean_sim"),
     )
     return out.withColumn("retrieval_score", F.round(0.5 * F.col("recall") + 0.5 * F.col("mean_sim"), 6))
+
+
+def gold_recall(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """query, rank, recall: the place of each query's gold id among its hits, null and recall 0 where it is not there; gold: query, gold_id."""
+    found = hits.select("query", F.col("id").alias("gold_id"), "rank").join(gold, ["query", "gold_id"], "right")
+    return found.select("query", "rank", F.col("rank").isNotNull().cast("double").alias("recall"))
+
+
+def reward_similarity(hits: DataFrame, size: int, k: int = 50) -> DataFrame:
+    """query, mean_sim over the k nearest of an index of the given size, of all but one at most."""
+    most = min(k, max(1, size - 1))
+    return hits.filter(F.col("rank") <= most).groupBy("query").agg(F.avg("sim").alias("mean_sim"))
+
+
+def judge_summary(hits: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
+    """query, max_score, mean_score of a judge (scores: query, id, score; none counts as 0) over the k nearest, rounded to four places."""
+    rows = hits.filter(F.col("rank") <= k).join(scores.select("query", "id", "score"), ["query", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return rows.groupBy("query").agg(F.round(F.max("score"), 4).alias("max_score"), F.round(F.avg("score"), 4).alias("mean_score"))

@@ -115,11 +115,11 @@ def category_filter(spark, sf_dir):
 
 
 def _references(spark, sf_dir, least):
-    """Orders as papers and line items as their references: parts of even keys are known locally, returned items have no text of their own."""
+    """Orders as papers and line items as their references: parts over size 25 are known locally, returned items have no text of their own."""
     lines = _t(spark, sf_dir, "lineitem")
     own = F.when(F.col("l_returnflag") != "R", F.concat_ws(" ", "l_returnflag", "l_linestatus"))
     edges = lines.select(F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("ref"), F.col("l_linenumber").alias("pos"), F.lit("edge").alias("title"), own.alias("abstract"), F.year("l_shipdate").alias("year"))
-    part = _t(spark, sf_dir, "part").filter("p_partkey % 2 = 0")
+    part = _t(spark, sf_dir, "part").filter("p_size > 25")
     store = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), F.col("p_size").alias("year"))
     return relational.resolved_references(edges, store, "paper", "ref", "pos", least)
 
@@ -127,7 +127,7 @@ def _references(spark, sf_dir, least):
 _REFS = """
 WITH e AS (SELECT l_orderkey AS paper, l_partkey AS ref, l_linenumber AS pos, CASE WHEN l_returnflag <> 'R' THEN l_returnflag || ' ' || l_linestatus END AS own, year(l_shipdate) AS y FROM lineitem),
 j AS (SELECT paper, ref, pos, CASE WHEN p_type IS NOT NULL THEN p_name ELSE 'edge' END AS title, coalesce(p_type, own) AS abstract, CASE WHEN p_type IS NOT NULL THEN p_size ELSE y END AS year
-    FROM e LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) ON p_partkey = ref WHERE coalesce(p_type, own, '') <> ''),
+    FROM e LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON p_partkey = ref WHERE coalesce(p_type, own, '') <> ''),
 g AS (SELECT paper, count(*) AS n FROM j GROUP BY paper HAVING count(*) >= 3)
 """
 
@@ -178,11 +178,11 @@ def pinned_references_40(spark, sf_dir):
 
 
 @_query("""
-WITH s AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey <= 5),
+WITH s AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'),
 r AS (SELECT o_custkey AS id, min(o_orderkey) AS ord FROM orders GROUP BY o_custkey)
 SELECT id, id AS ord, 0 AS part FROM s UNION ALL SELECT id, ord, 1 FROM r WHERE id NOT IN (SELECT id FROM s)""")
 def ordered_union(spark, sf_dir):
-    seeds = _t(spark, sf_dir, "customer").filter("c_custkey <= 5").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"))
+    seeds = _t(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"))
     return relational.ordered_union(seeds, _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("ord")))
 
 
@@ -216,9 +216,9 @@ def paper_folders(spark, sf_dir):
     return rows.select("page_id", year.alias("year"), month.alias("month"), folder.alias("folder"))
 
 
-@_query("""SELECT doc_id, md5('7|' || doc_id) AS place FROM documents WHERE lang = 'es'""")
+@_query("""SELECT doc_id, md5('7|' || doc_id) AS place FROM documents""")
 def seeded_shuffle(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").filter("lang = 'es'").select("doc_id", prompts.seeded_order(F.col("doc_id"), 7).alias("place"))
+    return _t(spark, sf_dir, "documents").select("doc_id", prompts.seeded_order(F.col("doc_id"), 7).alias("place"))
 
 
 @_query("""SELECT doc_id, lang, md5('7|' || doc_id) AS place FROM documents""")
@@ -251,10 +251,10 @@ def page_blocks(spark, sf_dir):
 
 @_query(r"""
 SELECT doc_id, CASE WHEN instr(text, '. ') > 0 THEN substr(text, 1, instr(text, '. ') - 1) || '[mark]' || substr(text, instr(text, '. ')) ELSE regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || '[mark]' END AS marked,
-    regexp_replace(regexp_replace('2024. , ' || substr(text, 1, 40), '^\s*\d{4}\s*\.\s*', ''), '^[\s.,;:]+', '') AS title FROM documents""")
+    md5(regexp_replace(regexp_replace('2024. , ' || text, '^\s*\d{4}\s*\.\s*', ''), '^[\s.,;:]+', '')) AS title FROM documents""")
 def marked_texts(spark, sf_dir):
-    head = F.concat(F.lit("2024. , "), F.left("text", F.lit(40)))
-    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", X.insert_before(F.col("text"), ". ", F.lit("[mark]")).alias("marked"), X.clean_title(head).alias("title"))
+    head = F.concat(F.lit("2024. , "), F.col("text"))
+    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", X.insert_before(F.col("text"), ". ", F.lit("[mark]")).alias("marked"), F.md5(X.clean_title(head)).alias("title"))
 
 
 def _tex(spark, sf_dir):
@@ -276,10 +276,17 @@ def latex_selection(spark, sf_dir):
     return _tex(spark, sf_dir).select("doc_id", kept.alias("kept")).select("doc_id", F.size("kept").alias("n"), F.aggregate("kept", F.lit(0), lambda s, x: s + F.length(x["text"])).alias("chars"))
 
 
-@_query(r"""SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word_count, contains(text, '<a>') AND contains(text, '</a>') AS has_all_tags,
-    regexp_matches(lower(text), 'implement|train|dataset|algorithm|baseline|metric') AS implementation, regexp_matches(lower(text), 'evaluate|baseline|ablation|metric|benchmark') AS evaluation FROM documents""")
+_TAGS = "".join(f"<{t}></{t}>" for t in X.REQUIRED_TAGS)
+
+
+@_query(rf"""
+WITH d AS (SELECT doc_id, lang, text, CASE WHEN lang = 'fr' THEN text ELSE '<problem></problem>' || text END AS body FROM documents)
+SELECT doc_id, len(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+')) AS word_count, lang = 'fr' AS has_all_tags,
+    regexp_matches(lower(body), 'implement|train|dataset|algorithm|baseline|metric') AS implementation, regexp_matches(lower(body), 'evaluate|baseline|ablation|metric|benchmark') AS evaluation FROM d""")
 def text_quality(spark, sf_dir):
-    return _texts(spark, sf_dir, "doc_id", "text").select("doc_id", X.quality(F.col("text"), ("a",)).alias("q")).select("doc_id", "q.*")
+    """French documents as answers with all required tags, others with one of them and no block."""
+    text = F.when(F.col("lang") == "fr", F.concat(F.lit(_TAGS + "<proposal>"), F.col("text"), F.lit("</proposal>"))).otherwise(F.concat(F.lit("<problem></problem>"), F.col("text")))
+    return _texts(spark, sf_dir, "doc_id", "lang", "text").select("doc_id", X.quality(text).alias("q")).select("doc_id", "q.*")
 
 
 @_query("""
@@ -371,11 +378,12 @@ def run_states(spark, sf_dir):
 
 @_query("""
 WITH c AS (SELECT user_id % 10 AS label, event_type, count(*) FILTER (value > 50) || '/' || count(*) AS cell FROM events GROUP BY 1, 2)
-SELECT label, max(cell) FILTER (event_type = 'purchase') AS purchase, max(cell) FILTER (event_type = 'error') AS error FROM c GROUP BY label""")
+SELECT label, max(cell) FILTER (event_type = 'purchase') AS purchase, max(cell) FILTER (event_type = 'error') AS error, max(cell) FILTER (event_type = 'signup') AS signup,
+    max(cell) FILTER (event_type = 'view') AS view, max(cell) FILTER (event_type = 'click') AS click FROM c GROUP BY label""")
 def strategy_pivot(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").withColumn("label", F.col("user_id") % 10)
     cell = F.concat(F.count_if(F.col("value") > 50).cast("string"), F.lit("/"), F.count(F.lit(1)).cast("string"))
-    return rows.filter(F.col("event_type").isNotNull()).groupBy("label").pivot("event_type", ["purchase", "error"]).agg(cell)
+    return rows.filter(F.col("event_type").isNotNull()).groupBy("label").pivot("event_type", ["purchase", "error", "signup", "view", "click"]).agg(cell)
 
 
 @_query("""
@@ -419,27 +427,50 @@ def improvements(spark, sf_dir):
 @_query("""
 WITH x AS (SELECT event_id, event_type AS mode, (event_id % 6) / 5.0 AS form, value / 100 AS s FROM events)
 SELECT event_id, round(CASE WHEN mode = 'purchase' THEN 0.8 * s + 0.2 * form
-    WHEN mode = 'click' THEN 0.6 * s + 0.2 * form + 0.2 * CASE WHEN s <= 0.8 THEN 1.0 ELSE greatest(0.0, 1 - 5 * (s - 0.8)) END
-    WHEN mode = 'view' THEN 0.8 * least(1.0, greatest(0.0, exp(-s / 3.0))) + 0.2 * form ELSE form END, 6) AS reward FROM x""")
+    WHEN mode = 'click' THEN 0.6 * s * 0.9 + 0.2 * form + 0.2 * CASE WHEN s <= 0.8 THEN 1.0 ELSE greatest(0.0, 1 - 5 * (s - 0.8)) END
+    WHEN mode = 'view' THEN 0.8 * least(1.0, greatest(0.0, exp(-1.5 * s / 3.0))) + 0.2 * form ELSE form END, 6) AS reward FROM x""")
 def rewards(spark, sf_dir):
     mode = F.when(F.col("event_type") == "purchase", "prs").when(F.col("event_type") == "click", "fas").when(F.col("event_type") == "view", "ppl").otherwise("none")
     s, form = F.col("value") / 100, (F.col("event_id") % 6) / F.lit(5.0)
-    score = scoring.composite(mode, form, s, s, s, scoring.predictability(F.array(-s)))
+    score = scoring.composite(mode, form, s, s * 0.9, s, scoring.predictability(F.array(-s, -2 * s)))
     return _t(spark, sf_dir, "events").select("event_id", F.round(score, 6).alias("reward"))
 
 
-@_query("""SELECT event_id, round(value, 4) AS reward, CASE WHEN event_id % 3 <> 2 THEN NULL ELSE round(value, 4) END AS loss,
-    CASE WHEN event_id % 3 = 2 THEN CAST(event_id AS INT) END AS step FROM events WHERE event_id % 3 <> 2
-UNION ALL SELECT event_id, NULL, round(value, 4), CAST(event_id AS INT) FROM events WHERE event_id % 3 = 2""")
+#: Log lines of every form: nested JSON, JSON with an apostrophe, console pairs, dict literals with and without a reward.
+_LINES = (
+    '{"critic/rewards/mean": @v, "reward": 7}', "step:@n - critic/rewards/mean:@v - x:1", "\x1b[32m 5% | @n/99 [00:01] {'loss': @v, 'grad': nan, 'lr': None}\r", '{"a": {"x": 1}, "reward": @v}',
+    '{"msg": "it\'s", "reward": @v}', "step:3 {'reward': @v, 'done': True}", '{"loss": @v, "reward": 1}', "out {'train_loss': @v, 'reward': 2, 'ok': False}", "nothing here",
+)
+
+
+def _log_sql() -> str:
+    forms = " ".join(f"WHEN {k} THEN '{line.replace(chr(39), chr(39) * 2)}'" for k, line in enumerate(_LINES)).replace("\x1b", "' || chr(27) || '").replace("\r", "' || chr(13) || '")
+
+    def number(source: str, key: str) -> str:
+        return f"TRY_CAST(json_extract_string({source}, '$.\"{key}\"') AS DOUBLE)"
+
+    def first(source: str, keys: tuple[str, ...]) -> str:
+        return f"coalesce({', '.join(number(source, k) for k in keys)})"
+
+    return f"""
+WITH r AS (SELECT event_id, replace(replace(CASE event_id % {len(_LINES)} {forms} END, '@v', printf('%.4f', value)), '@n', CAST(event_id AS VARCHAR)) AS raw FROM events),
+l AS (SELECT event_id, regexp_replace(raw, chr(27) || '\\[[0-9;]*m|' || chr(13), '', 'g') AS line FROM r),
+d AS (SELECT *, starts_with(line, '{{') AND json_valid(line) AS whole, regexp_extract(line, '(\\{{[^{{}}]+\\}})', 1) AS body FROM l),
+n AS (SELECT *, replace(replace(replace(replace(replace(body, chr(39), '"'), 'None', 'null'), 'nan', 'null'), 'True', 'true'), 'False', 'false') AS fixed FROM d),
+j AS (SELECT *, CASE WHEN json_valid(fixed) THEN fixed END AS dict FROM n)
+SELECT event_id, round(CASE WHEN whole THEN {first('line', runs.REWARD_KEYS)} WHEN contains(line, 'step:') AND contains(line, 'critic/rewards/mean:') THEN TRY_CAST(regexp_extract(line, 'critic/rewards/mean:([-0-9.eE+]+)', 1) AS DOUBLE)
+    ELSE {first('dict', runs.REWARD_KEYS)} END, 4) AS reward,
+    round(CASE WHEN whole THEN {first('line', runs.LOSS_KEYS)} WHEN json_extract_string(dict, '$.reward') IS NULL THEN {first('dict', runs.LOSS_KEYS)} END, 4) AS loss,
+    TRY_CAST(regexp_extract(line, '\\|\\s*([0-9]+)/[0-9]+', 1) AS INT) AS step FROM j"""
+
+
+@_query(_log_sql())
 def log_metrics(spark, sf_dir):
     v, n = F.format_string("%.4f", F.col("value")), F.col("event_id").cast("string")
-    line = (
-        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"critic/rewards/mean": '), v, F.lit(', "reward": 7}')))
-        .when(F.col("event_id") % 3 == 1, F.concat(F.lit("step:"), n, F.lit(" - critic/rewards/mean:"), v, F.lit(" - x:1")))
-        .otherwise(F.concat(F.lit("\u001b[32m 5% | "), n, F.lit("/99 [00:01] {'loss': "), v, F.lit(", 'grad': nan, 'lr': None}\r")))
-    )
+    form = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("event_id") % len(_LINES) + 1).cast("int"))
+    line = F.replace(F.replace(form, F.lit("@v"), v), F.lit("@n"), n)
     rows = tables.spread(_t(spark, sf_dir, "events")).select("event_id", runs.plain_line(line).alias("line"))
-    return rows.select("event_id", runs.reward(F.col("line")).alias("reward"), runs.loss(F.col("line")).alias("loss"), runs.progress(F.col("line"))["step"].alias("step"))
+    return rows.select("event_id", F.round(runs.reward(F.col("line")), 4).alias("reward"), F.round(runs.loss(F.col("line")), 4).alias("loss"), runs.progress(F.col("line"))["step"].alias("step"))
 
 
 @_query("""
@@ -454,15 +485,22 @@ def run_labels(spark, sf_dir):
 
 
 @_query("""
-WITH a AS (SELECT 'm' || n_nationkey AS machine, unnest(range(0, n_regionkey + 1)) AS device FROM nation)
-SELECT machine, CAST(device AS INT) AS device FROM a UNION ALL SELECT 'x' || n_nationkey, unnest([1, 3]) FROM nation""")
+WITH a AS (SELECT 'm' || s_suppkey AS machine, unnest(range(0, s_nationkey % 8 + 1)) AS device FROM supplier)
+SELECT machine, CAST(device AS INT) AS device FROM a UNION ALL SELECT 'x' || s_suppkey, unnest([1, 3]) FROM supplier""")
 def device_slots(spark, sf_dir):
-    n = F.col("n_nationkey").cast("string")
-    spec = F.concat(F.lit("m"), n, F.lit(":0-"), F.col("n_regionkey").cast("string"), F.lit("; x"), n, F.lit(":1,3;"))
-    return _t(spark, sf_dir, "nation").select(F.explode(runs.slots(spec)).alias("s")).select("s.machine", "s.device")
+    n = F.col("s_suppkey").cast("string")
+    spec = F.concat(F.lit("m"), n, F.lit(":0-"), (F.col("s_nationkey") % 8).cast("string"), F.lit("; x"), n, F.lit(":1,3;"))
+    return _t(spark, sf_dir, "supplier").select(F.explode(runs.slots(spec)).alias("s")).select("s.machine", "s.device")
 
 
-@_query()
+def _signed_sql(key: bytes) -> str:
+    inner, outer = ("".join(f"{b ^ pad:02x}" for b in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    return f"""
+WITH m AS (SELECT event_id, sha256(unhex('{outer}' || sha256(unhex('{inner}' || hex(encode(printf('%.6f', value))))))) AS own FROM events)
+SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN 'bad' WHEN event_id % 5 <> 1 THEN own END = own, FALSE) AS valid FROM m"""
+
+
+@_query(_signed_sql(b"example-key"))
 def signed_results(spark, sf_dir):
     key = b"example-key"
     made = scoring.hmac_sha256(F.regexp_replace(F.format_number("value", 6), ",", ""), key)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import json
 
 
 def scalar(text: str) -> object:
@@ -35,3 +36,15 @@ def overridden(config: dict, *settings: str) -> dict:
             at = at[name]
         at[last] = scalar(value)
     return out
+
+
+def loaded(text: str) -> dict:
+    """Settings from the text of a JSON file, or of a YAML file where a YAML reader is installed."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("the settings are not JSON, and no YAML reader is installed") from e
+        return yaml.safe_load(text) or {}

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ..functions.runs import plain_line
+from ..functions import latex
+from ..functions.runs import model_label, plain_line
 from ..functions.text import empty
 from ..operators.relational import best_row
 
@@ -62,9 +64,19 @@ def last_papers(papers: DataFrame) -> DataFrame:
     return papers.groupBy("arxiv_id").agg(F.max_by(F.struct(*[c for c in papers.columns if c != "arxiv_id"]), "path").alias("r")).select("arxiv_id", "r.*")
 
 
-def indexable(papers: DataFrame) -> DataFrame:
-    """Papers with an id and an abstract."""
-    return papers.filter(~empty(F.col("arxiv_id")) & ~empty(F.col("abstract")))
+def indexable(papers: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Papers with an id and an abstract, of the given categories if any."""
+    rows = papers.filter(~empty(F.col("arxiv_id")) & ~empty(F.col("abstract")))
+    return rows.filter(F.arrays_overlap("categories", F.array(*map(F.lit, categories)))) if categories else rows
+
+
+def write_index(rows: DataFrame, path: str) -> None:
+    """The vector index: id, embedding, abstract."""
+    rows.select("id", F.col("embedding").cast("array<float>"), F.coalesce("abstract", F.lit("")).alias("abstract")).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS["index"]).parquet(path)
 
 
 def folder_of(paper_id) -> tuple:
@@ -74,23 +86,90 @@ def folder_of(paper_id) -> tuple:
     return year, F.when(head != "", F.substring(head, 3, 2).try_cast("int")), F.replace(paper_id, F.lit("/"), F.lit("__"))
 
 
-def tex_files(spark: SparkSession, root: str, excluded: tuple[str, ...] = ("references", "bibliography", "refs", "bib")) -> DataFrame:
+def resolved_folders(ids: DataFrame, folders: DataFrame) -> DataFrame:
+    """id, path: each id's folder of folders (year, month, name, path): the one of its own year and month, else the first by path with its name.
+
+    A name is the id with its slashes replaced, or the id itself. Ids without a folder have a null path.
+    """
+    year, month, safe = folder_of(F.col("id"))
+    named = ids.select("id", year.alias("y"), month.alias("m"), F.explode(F.array_distinct(F.array(safe, F.col("id")))).alias("name"))
+    found = named.join(folders, "name")
+    own = F.struct(~F.coalesce((F.col("y") == F.col("year")) & (F.col("m") == F.col("month")), F.lit(False)).alias("other"), (F.col("name") == F.col("id")).alias("raw"), "path")
+    best = found.withColumn("own", own).groupBy("id").agg(F.min("own").alias("b")).select("id", F.col("b.path").alias("path"))
+    return ids.select("id").join(best, "id", "left")
+
+
+#: Stems of TeX files that hold bibliographies (fixed values).
+BIBLIOGRAPHIES = ("refs", "references", "bibliography", "biblio")
+
+
+def tex_files(spark: SparkSession, root: str, excluded: tuple[str, ...] = BIBLIOGRAPHIES) -> DataFrame:
     """path, value: whole .tex files under root but for bibliographies."""
     rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tex").text(root)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), "value")
     return rows.filter(~F.lower(F.regexp_extract("path", r"([^/]+)\.tex$", 1)).isin(*excluded))
 
 
+def tex_sections(files: DataFrame) -> DataFrame:
+    """paper, source, heading, kind, text, order, global_order: the sections of all files (paper, source, value) of each paper, files by name.
+
+    global_order numbers a paper's sections over its files; only section numbers are sorted together, not texts.
+    """
+    found = files.select("paper", "source", F.explode(latex.sections(F.col("value"), F.col("source"))).alias("s")).select("paper", "source", "s.*")
+    place = F.row_number().over(Window.partitionBy("paper").orderBy("source", "order")) - 1
+    numbers = found.select("paper", "source", "order").withColumn("global_order", place)
+    return found.join(numbers, ["paper", "source", "order"])
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, value: lines without terminal controls."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), plain_line(F.col("value")).alias("value"))
 
 
-def summaries(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Summary files, labelled by the folder above the one they are in."""
+def summaries(spark: SparkSession, paths: list[str], depth: int = 3) -> DataFrame:
+    """Summary files, labelled by the folder that stands depth segments from the path's end (3: above the one they are in)."""
     rows = spark.read.schema(SCHEMAS["summary"]).option("multiLine", "true").json(paths)
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return rows.withColumn("label", F.coalesce("label", F.element_at(parts, -3)))
+    return rows.withColumn("label", F.coalesce("label", F.element_at(parts, -depth)))
+
+
+def write_records(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, added to those there."""
+    rows.write.mode("append").json(path)
+
+
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """path, lines: the number of lines of each file."""
+    return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("lines"))
+
+
+def last_lines(lines: DataFrame, n: int, key: str = "path", order: str = "number") -> DataFrame:
+    """Each file's last n lines; lines: path, number, value. Shares of a file's lines are cut to n each before they meet."""
+    share = F.pmod(F.xxhash64(order), F.lit(64))
+    within = F.row_number().over(Window.partitionBy(key, share).orderBy(F.desc(order)))
+    parts = lines.withColumn("__k", within).filter(F.col("__k") <= n)
+    return parts.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("__k") <= n).drop("__k")
+
+
+def registry_entries(configs: DataFrame) -> DataFrame:
+    """Registry rows of run configurations (as run_config, with run_dir and started_at)."""
+    label = model_label(F.coalesce("checkpoint", F.lit("")), F.when(F.coalesce("checkpoint", F.lit("")) == "", F.col("run_id")).otherwise(""), F.col("is_api"), F.col("api_model"))
+    return configs.select("run_id", "run_dir", F.col("task_name").alias("task"), F.coalesce("subtask", F.lit("")).alias("subtask"), label.alias("model_label"), "n_samples", "started_at", F.coalesce("strategy", F.lit("")).alias("strategy"))
+
+
+def backfilled(registry: DataFrame, configs: DataFrame) -> DataFrame:
+    """Registry rows of the configurations whose run_id the registry lacks, the first by folder for each run_id."""
+    missing = configs.filter(~empty(F.col("run_id"))).join(registry.select("run_id"), "run_id", "left_anti")
+    return registry_entries(best_row(missing, ["run_id"], F.col("run_dir")))
+
+
+def append_runs(configs: DataFrame, path: str) -> None:
+    write_records(registry_entries(configs), path)
+
+
+def load_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of a registry; malformed lines are left out."""
+    return json_lines(spark, path, SCHEMAS["registry"])
 
 
 def lookup(key: str, value: str, *splits: DataFrame) -> DataFrame:

@@ -18,33 +18,24 @@ def first_writes(stream: DataFrame, time: str, delay: str = "1 hour", key: str =
 
 
 def latest_state(stream: DataFrame, path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    """Keeps the row of the highest order for each key, under path/batch=N; a batch that runs again writes the same.
+    """Keeps the row of the highest order for each key: the state store holds it, and every batch adds the keys that changed under path/batch=N.
 
-    Every batch merges the last finished table with its own rows and writes a table of its own, so a failed
-    write leaves the former one whole. latest_table() reads the newest.
+    A batch that runs again writes the same folder again. Storage grows with the changes; latest_table() reads the newest.
     """
+    rest = [c for c in stream.columns if c != key]
+    newest = stream.groupBy(key).agg(F.max(F.struct(F.col(order).alias("__o"), F.struct(*rest).alias("r"))).alias("b"))
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        former = latest_table(spark, path, before=number)
-        rows = batch if former is None else batch.unionByName(former)
-        rest = [c for c in rows.columns if c != key]
-        merged = rows.groupBy(key).agg(F.max(F.struct(F.col(order).alias("__o"), F.struct(*rest).alias("r"))).alias("b"))
-        merged.select(key, *(F.col(f"b.r.{c}").alias(c) for c in rest)).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest finished table of latest_state(), of the batches before a number."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    done = [int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.parquet(f"{path}/batch={max(done)}") if done else None
+    def add(batch: DataFrame, number: int) -> None:
+        batch.select(key, *(F.col(f"b.r.{c}").alias(c) for c in rest)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return newest.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_table(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The newest row of each key of latest_state()."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, *(f"r.{c}" for c in rest))
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, size: str = "1 hour", delay: str = "2 hours") -> DataFrame:

@@ -77,6 +77,22 @@ def test_log_lines(spark):
     assert one(spark, runs.metrics(F.lit("nothing"))) is None
 
 
+@pytest.mark.parametrize(
+    ("line", "reward", "loss"),
+    [
+        ('{"a": {"x": 1}, "reward": 2}', 2.0, None),
+        ('{"msg": "it\'s", "reward": 1}', 1.0, None),
+        ("step:3 {'reward': 1.0}", 1.0, None),
+        ("{'reward': 1.5, 'done': True}", 1.5, None),
+        ('{"loss": 0.5, "reward": 1}', 1.0, 0.5),
+        ("{'loss': 0.5, 'reward': 1}", 1.0, None),
+        ("{'loss': 0, 'train_loss': 3}", None, 0.0),
+    ],
+)
+def test_log_line_forms(spark, line, reward, loss):
+    assert (one(spark, runs.reward(F.lit(line))), one(spark, runs.loss(F.lit(line)))) == (reward, loss)
+
+
 def test_slots(spark):
     got = one(spark, runs.slots(F.lit("a:0-1; b:3;c:2-2;")))
     assert [tuple(x) for x in got] == [("a", 0), ("a", 1), ("b", 3), ("c", 2)]
@@ -90,3 +106,23 @@ def test_latex(spark):
     assert got[0]["text"].startswith("We use bold words and text. We use") and "gone" not in got[0]["text"]
     kept = one(spark, latex.selected(latex.sections(F.lit(tex * 30), F.lit("m")), 3000))
     assert sum(len(s["text"]) for s in kept) <= 3000 and all(len(s["text"]) >= 120 for s in kept)
+
+
+@pytest.mark.parametrize("spec", ["nocolon", "m:x", ":0", "a:0;b"])
+def test_bad_slots_raise(spark, spec):
+    with pytest.raises(Exception, match="bad slot entry"):
+        one(spark, runs.slots(F.lit(spec)))
+
+
+def test_labels(spark):
+    none = F.lit(None).cast("string")
+    assert one(spark, runs.model_label(F.lit("a/m/rl/x"), F.lit("r"), F.lit(True), F.lit("hosted"))) == "hosted"
+    assert one(spark, runs.model_label(none, F.lit("r"), F.lit(True), none)) == "api"
+    assert one(spark, runs.label_base(F.lit("e_20240101_000000_x"))) == "e_x" and one(spark, runs.label_timestamp(F.lit("e"))) == ""
+
+
+def test_text_tail_and_blocks(spark):
+    assert one(spark, X.tail(F.lit("abc"), 2)).endswith("\n\nbc") and one(spark, X.tail(F.lit(""), 2)) == "(empty)"
+    assert one(spark, X.named_blocks(F.lit("<title> t </title><approach>a</approach>"))) == "<title>\nt\n\n<approach>\na\n"
+    assert one(spark, X.named_blocks(F.lit("x<thinking>no</thinking> y "))) == "x y"
+    assert one(spark, runs.bar(F.lit(float("nan")), 3)).endswith(" NaN") and one(spark, runs.last_match(F.array(F.lit("a=1"), F.lit("a=2"), F.lit("b")), "a=(.)")) == 2.0

@@ -6,7 +6,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sparquill.operators import registry, relational, vector
+from sparquill.operators import overlap, registry, relational, vector
 from sparquill.plans import catalog
 from sparquill.sources import config, tables
 from sparquill.streaming import latest
@@ -140,4 +140,95 @@ def test_latest_state_stream(spark, tmp_path):
         spark.createDataFrame(rows, "k string, n long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = latest.latest_state(latest.records(spark, str(tmp_path / "in"), "k string, n long", form="parquet"), str(tmp_path / "out"), str(tmp_path / "chk"), "k", "n")
         q.awaitTermination(60)
-    assert dict(latest.latest_table(spark, str(tmp_path / "out")).collect()) == {"a": 3, "b": 5}
+    assert dict(latest.latest_table(spark, str(tmp_path / "out"), "k").collect()) == {"a": 3, "b": 5}
+
+
+def test_first_writes_and_windows_of_a_stream(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 3, 4000)], "key string, n int, t int").selectExpr("key", "n", "timestamp_seconds(t) ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def collected(df, mode):
+        q = df.writeStream.format("memory").queryName(f"t{mode}").outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return sorted(tuple(r) for r in spark.table(f"t{mode}").collect())
+
+    rows = latest.records(spark, str(tmp_path / "in"), "key string, n int, ts timestamp", form="parquet")
+    assert [r[0] for r in collected(latest.first_writes(rows, "ts"), "append")] == ["a", "b"]
+    assert [r[1:] for r in collected(latest.windowed_counts(rows, "ts", "key"), "complete")] == [("a", 2), ("b", 1)]
+
+
+def test_record_files(spark, tmp_path):
+    """Papers of the last path, indexable ones, TeX files, logs, summaries, counts and tails of lines."""
+    for month, text in (("03", "x"), ("04", "y")):
+        d = tmp_path / "papers" / "2024" / month / "p1"
+        d.mkdir(parents=True)
+        (d / "metadata.json").write_text('{"arxiv_id":"p1","abstract":"%s","categories":["cs.LG"]}' % text)
+    papers = tables.dated_papers(spark, str(tmp_path / "papers"))
+    assert tables.last_papers(papers).first()["abstract"] == "y"
+    assert tables.indexable(papers, ["cs.CL"]).isEmpty() and tables.indexable(papers).count() == 2
+    tex = tmp_path / "tex"
+    tex.mkdir()
+    for name in ("main", "refs", "References", "bibliography", "biblio", "bib"):
+        (tex / f"{name}.tex").write_text("x")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in tables.tex_files(spark, str(tex)).collect()) == ["bib.tex", "main.tex"]
+    (tmp_path / "run.log").write_text("\x1b[32ma\x1b[0m\nb\nc\n")
+    assert [r["value"] for r in tables.log_lines(spark, str(tmp_path / "run.log")).collect()] == ["a", "b", "c"]
+    assert tables.line_counts(spark, str(tmp_path / "run.log")).first()["lines"] == 3
+    s = tmp_path / "exp1" / "eval" / "k"
+    s.mkdir(parents=True)
+    (s / "summary.json").write_text('{"FAS": 0.5}')
+    assert tables.summaries(spark, [str(s / "summary.json")]).first()["label"] == "eval"
+    assert tables.summaries(spark, [str(s / "summary.json")], depth=4).first()["label"] == "exp1"
+    index = spark.createDataFrame([("p", [1.0, 2.0], None)], "id string, embedding array<double>, abstract string")
+    tables.write_index(index, str(tmp_path / "index"))
+    assert tuple(tables.read_index(spark, str(tmp_path / "index")).first()) == ("p", [1.0, 2.0], "")
+
+
+def test_registry_file(spark, tmp_path):
+    schema = tables.SCHEMAS["run_config"] + ", run_dir string, started_at string"
+    rows = [("t", None, "s", 3, i, api, "hosted" if api else None, None, None, None, f"d/{i}", "2024") for i, api in (("r1", True), ("r2", False), ("r2", False))]
+    configs = spark.createDataFrame(rows, schema)
+    tables.append_runs(configs.filter("run_id = 'r1'"), str(tmp_path / "reg"))
+    (tmp_path / "reg" / "more.json").write_text("broken\n")
+    known = tables.load_runs(spark, str(tmp_path / "reg"))
+    assert [tuple(r)[0] for r in known.collect()] == ["r1"] and known.first()["model_label"] == "hosted"
+    assert [(r["run_id"], r["model_label"]) for r in tables.backfilled(known, configs).collect()] == [("r2", "r2")]
+
+
+def test_resolved_folders(spark):
+    ids = spark.createDataFrame([("2403.00001",), ("math/01",), ("2401.9",), ("none",)], "id string")
+    folders = spark.createDataFrame([(2024, 3, "2403.00001", "a/2024/03/x"), (2023, 1, "2403.00001", "a/2023/01/x"), (2020, 1, "math__01", "a/2020/01/m"), (1999, 1, "2401.9", "a/1999/01/y")], "year int, month int, name string, path string")
+    assert dict(tables.resolved_folders(ids, folders).collect()) == {"2403.00001": "a/2024/03/x", "math/01": "a/2020/01/m", "2401.9": "a/1999/01/y", "none": None}
+
+
+def test_sections_of_several_files(spark):
+    body = "Some words about it. " * 10
+    files = spark.createDataFrame([("p", "b.tex", f"\\section{{Results}}{body}\\section{{Tiny}}x"), ("p", "a.tex", f"\\section{{Intro}}{body}\\section{{Method}}{body}"), ("q", "z.tex", "word " * 50)], "paper string, source string, value string")
+    got = [tuple(r) for r in tables.tex_sections(files).select("paper", "source", "heading", "order", "global_order").orderBy("paper", "global_order").collect()]
+    assert got == [("p", "a.tex", "Intro", 0, 0), ("p", "a.tex", "Method", 1, 1), ("p", "b.tex", "Results", 0, 2), ("q", "z.tex", "z.tex", 0, 0)]
+
+
+def test_large_query_sets_meet_the_index_in_blocks(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = rows.filter("vec_id % 3 = 0")
+    want = sorted(map(tuple, vector.top_k(rows, asked, 7).collect()))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(vector, "BLOCK", 60)
+    assert sorted(map(tuple, vector.top_k(rows, asked, 7).collect())) == want
+
+
+def test_overlap_by_join_equals_matrix(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "zzzqqq")], "doc_id long, text string"))
+    want = sorted(map(str, overlap.closest(docs, items).collect()))
+    monkeypatch.setattr(overlap, "MATRIX_ROWS", 10)
+    assert sorted(map(str, overlap.closest(docs, items).collect())) == want
+    assert overlap.closest(docs, items.limit(0)).filter("item_id is not null or similarity <> 0").isEmpty()
+
+
+def test_nulls_come_last(spark):
+    rows = spark.createDataFrame([(1, None), (2, float("nan")), (3, 1.0), (4, 2.0)], "k int, v double")
+    assert [r["k"] for r in relational.nulls_last(rows, "v", "k").collect()] == [4, 3, 1, 2]
+
+
+def test_settings_file():
+    assert config.loaded('{"a": {"b": 1}}') == {"a": {"b": 1}}
