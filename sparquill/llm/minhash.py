@@ -246,7 +246,10 @@ def _block_links(table: pa.Table, cfg: SketchConfig) -> tuple[list[int], list[in
         part = np.zeros((len(sets), width), np.float32)
         part[row[lo:hi], column[lo:hi] - at] = 1
         inter += part @ part.T
-    linked = inter * 100 >= (sizes[:, None] + sizes[None, :] - inter) * cfg.percent
+    linked = np.zeros(inter.shape, bool)
+    for at in range(0, len(sets), 128):  # some rows at a time: the comparison needs several times their memory
+        own = slice(at, at + 128)
+        linked[own] = inter[own] * 100 >= (sizes[own, None] + sizes[None, :] - inter[own]) * cfg.percent
     a, b, seen = [], [], np.zeros(len(sets), bool)
     for i in np.argsort(ids, kind="stable"):
         if not seen[i]:
