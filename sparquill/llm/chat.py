@@ -267,7 +267,8 @@ def format_conversations(turns: DataFrame, template: str = TURNS, segment: int =
 
     spans are the (start, end) code points of the segment that are to be learned. A conversation longer than
     segment goes on in further rows, numbered by seq, in the same partition and in order: no task holds a
-    whole conversation. Null roles and texts count as empty, repeated rows as turns of their own.
+    whole conversation. Null roles and texts count as empty, repeated rows as turns of their own, turns with a null number
+    come first, and a null conv_id is a conversation like any other. An empty table has no rows; further columns are not read.
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     rows = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -133,7 +133,8 @@ def pack_best_fit(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     from 0), position_resets (where positions start again at 0), ids (capacity little-endian integers
     of id_width(path) bytes, padded by pad_id). Documents longer than capacity are split without loss
     into full sequences and a rest. Tasks pack blocks of about block_tokens ids each, so only a
-    block's last bins stay unfilled. Null texts count as empty: end_id alone.
+    block's last bins stay unfilled. Null texts count as empty: end_id alone. Each input row is one document, repeated ones and
+    those without doc_id too; an empty table has no sequences. Of equal sizes the first comes first. Further columns are not read.
     """
     width = T.id_width(path)
 

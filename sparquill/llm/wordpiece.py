@@ -116,7 +116,10 @@ _counters: dict[str, TextCounter] = {}
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_pieces for every row: greedy longest-match pieces of the whole text; 0 for null and empty texts."""
+    """doc_id, n_words, n_pieces for every row: greedy longest-match pieces of the whole text; 0 for null and empty texts.
+
+    Repeated rows and null ids are counted like any other, an empty table has no rows, and further columns are not read.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
