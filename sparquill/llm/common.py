@@ -210,7 +210,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def batches(it: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller slices of Arrow batches, to bound a worker's memory."""
+    """Smaller slices of Arrow batches, to bound a worker's memory; what earlier batches took goes back to the system."""
     for b in it:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        pa.default_memory_pool().release_unused()

@@ -21,8 +21,8 @@ _CLASS[0x21:0x7F] = 2
 _CLASS[ord("a") : ord("z") + 1] = _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("'")] = _OTHER
 _CLASS[np.frombuffer(C.SPACE_BYTES, np.uint8)] = 0
-#: Bytes of text looked up at a time.
-BLOCK = 1 << 20
+#: Bytes of text looked up at a time; the working arrays take some forty times as much.
+BLOCK = 1 << 18
 
 
 def byte_chars() -> list[str]:
