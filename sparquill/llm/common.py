@@ -25,8 +25,20 @@ U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
+#: Rows of the Arrow batches that tasks exchange with their Python workers; both hold a batch of whole texts in memory.
+ARROW_ROWS = 2000
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets ARROW_ROWS in a session that has Spark's default; any other setting stays."""
+    if spark.conf.get(_ARROW_KEY) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_KEY, ARROW_ROWS)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is set, a local master gets one for its own lifetime; a cluster must name one."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not re.match(r"local(\[|$)", sc.master):

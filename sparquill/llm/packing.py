@@ -174,6 +174,7 @@ def pack_best_fit(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
             yield pack(held_docs, held, first)
 
     rows = docs.select(C.quoted(id_col).cast("long").alias("doc_id"), C.quoted(text_col).cast("string").alias("text"))
+    C.bound_batches(docs.sparkSession)
     return rows.mapInArrow(run, "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, ids binary")
 
 

@@ -133,6 +133,7 @@ def _held_out(doc_id):
 
 def learn(docs: DataFrame, labels: DataFrame, cfg: TreeConfig = TreeConfig(), id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Trees from at most cfg.max_rows labelled documents, the first by a hash of the id, none of them held out."""
+    C.bound_batches(docs.sparkSession)
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = own.filter(~_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")

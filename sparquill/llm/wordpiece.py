@@ -129,4 +129,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], ["doc_id", "n_words", "n_pieces"])
 
     rows = docs.select(C.quoted(id_col).cast("long").alias("doc_id"), C.quoted(text_col).cast("string").alias("text"))
+    C.bound_batches(docs.sparkSession)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_pieces long")
