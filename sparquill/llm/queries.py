@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import chat, decontaminate, exact, minhash, packing, quality, secrets, tokens, urls, wordpiece
+from . import chat, decontaminate, divergence, exact, genetic, importance, minhash, packing, quality, secrets, tokens, urls, wordpiece
 from . import common as C
 
 #: Fixed rules of the URL query: (host, path, verdict).
@@ -67,21 +67,44 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
-def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokens.default_path()
+def _checksum(path: str):
+    """The checksum of a piece's ids as a column function."""
     width = tokens.id_width(path)
 
     @F.pandas_udf("long")
     def checksum(ids):
         return ids.map(lambda b: packing.crc32_of(b, width)).astype("int64")
 
+    return checksum
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.default_path()
     pieces = packing.concat_and_cut(_documents(spark, sf_dir), path)
-    return pieces.select("doc_id", "start", "length", checksum("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", _checksum(path)("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op11_genetic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.default_path()
+    pieces = genetic.pack(_documents(spark, sf_dir), path)
+    return pieces.select("doc_id", "piece", "start", "length", _checksum(path)("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), scan=True)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash, op2_secrets, op3_url_filter, op4_exact_dedup, op5_chat_format, op6_packed_ids, op7_token_counts, op8_decontaminate, op9_quality, op10_pack)
+    for f in (
+        op1_minhash, op2_secrets, op3_url_filter, op4_exact_dedup, op5_chat_format, op6_packed_ids, op7_token_counts, op8_decontaminate, op9_quality, op10_pack,
+        op11_genetic_pack, op12_divergence, op13_importance,
+    )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -172,5 +195,53 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id
 """
 
+_OP12 = r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, @LOWER@ AS t FROM documents),
+c AS (SELECT row_number() OVER () AS row, lang, source, regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM docs),
+terms AS MATERIALIZED (SELECT row, lang, source, unnest(w) AS term FROM c),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM docs),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM terms JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL),
+shares AS MATERIALIZED (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(gn.n, 0) + l.v) AS HUGEINT) AS p,
+        CAST(1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + l.v) AS HUGEINT) AS q
+    FROM g JOIN kept k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+""".replace("@LOWER@", _LOWER)
+
+#: The CRC-32 of a feature goes over its bytes with the table of the 256 remainders.
+_OP13 = r"""
+WITH RECURSIVE steps AS (SELECT range AS b, range AS c, 0 AS k FROM range(256)
+    UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+texts AS MATERIALIZED (
+    SELECT true AS own, doc_id, regexp_extract_all(@LOWER@, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    UNION ALL SELECT false, NULL, regexp_extract_all(@LOWER@, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS MATERIALIZED (SELECT own, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM texts),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)),
+buckets AS MATERIALIZED (
+    SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) AS BIGINT) + 1]))) % 10000 AS b FROM hexed, crc),
+counts AS (SELECT b, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM runs JOIN buckets USING (f) GROUP BY b),
+sums AS (SELECT sum(s) AS s, sum(t) AS t FROM counts),
+gains AS (SELECT b, CAST(floor(1000 * ln((counts.t + 1.0::DOUBLE) * (sums.s + 10000.0::DOUBLE) / ((counts.s + 1.0::DOUBLE) * (sums.t + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM counts, sums),
+own AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM runs JOIN buckets USING (f) JOIN gains USING (b) WHERE own GROUP BY doc_id),
+scored AS (
+    SELECT x.doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || x.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+    FROM texts x LEFT JOIN own o ON o.doc_id = x.doc_id WHERE x.own),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM scored s LEFT JOIN placed p ON p.doc_id = s.doc_id
+""".replace("@LOWER@", _LOWER)
+
 #: The other queries tokenise, learn or hash and have no SQL; tests compare them with brute force.
-ORACLES = {"op1_minhash": _OP1, "op2_secrets": _op2(), "op3_url_filter": _OP3, "op4_exact_dedup": _OP4, "op5_chat_format": _OP5}
+ORACLES = {"op1_minhash": _OP1, "op2_secrets": _op2(), "op3_url_filter": _OP3, "op4_exact_dedup": _OP4, "op5_chat_format": _OP5, "op12_divergence": _OP12, "op13_importance": _OP13}
