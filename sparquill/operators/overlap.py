@@ -9,8 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import words
+from ..sources.scratch import materialize
+from .vector import values
 
 #: Distinct words of all reference texts, each counted once a text, up to which they are sent to all tasks.
 MATRIX_ROWS = 2_000_000
@@ -46,7 +49,7 @@ class _Matrix:
     """Word counts of references: for each word its references and counts."""
 
     def __init__(self, found: pa.Table, ref_key: str) -> None:
-        item, m = found.column(ref_key).to_numpy(), found.column("m").to_numpy()
+        item, m = values(found.column(ref_key).combine_chunks()), found.column("m").to_numpy()
         self.items, number = np.unique(item, return_inverse=True)
         self.norms = np.bincount(number, m * m, len(self.items)) if len(m) else np.zeros(0)
         codes = found.column("token").combine_chunks().dictionary_encode()
@@ -80,9 +83,11 @@ class _Matrix:
 
 
 def _closest_by_matrix(rows: DataFrame, found: pa.Table, key: str, ref_key: str, text: str) -> DataFrame:
-    kind, ref_kind = rows.schema[key].dataType.simpleString(), pa.int64()
+    kind, ref_kind = rows.schema[key].dataType.simpleString(), found.schema.field(ref_key).type
+    ref_sql = "string" if pa.types.is_string(ref_kind) else "long"
+    ref_kind = ref_kind if ref_sql == "string" else pa.int64()
     if not found.num_rows:
-        return rows.select(key, F.lit(None).cast("long").alias(ref_key), F.lit(0.0).alias("similarity"))
+        return rows.select(key, F.lit(None).cast(ref_sql).alias(ref_key), F.lit(0.0).alias("similarity"))
     shared = rows.sparkSession.sparkContext.broadcast(_Matrix(found, ref_key))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +97,9 @@ def _closest_by_matrix(rows: DataFrame, found: pa.Table, key: str, ref_key: str,
             for at in range(0, big.num_rows, share):
                 batch = big.slice(at, share)
                 best, top = matrix.best(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matrix.items[best], ref_kind, mask=best < 0), pa.array(top)], [key, ref_key, "similarity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matrix.items[best].tolist(), ref_kind, mask=best < 0), pa.array(top)], [key, ref_key, "similarity"])
 
-    return rows.select(key, words(F.col(text)).alias("words")).mapInArrow(run, f"{key} {kind}, {ref_key} long, similarity double")
+    return rows.select(key, words(F.col(text)).alias("words")).mapInArrow(run, f"{key} {kind}, {ref_key} {ref_sql}, similarity double")
 
 
 def _closest_by_join(rows: DataFrame, other: DataFrame, key: str, ref_key: str, text: str) -> DataFrame:
@@ -103,5 +108,70 @@ def _closest_by_join(rows: DataFrame, other: DataFrame, key: str, ref_key: str,
     ref_norms = other.groupBy(ref_key).agg(F.sum(F.col("m") * F.col("m")).alias("ref_norm"))
     dots = own.join(other, "token").groupBy(key, ref_key).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     scored = dots.join(norms, key).join(ref_norms, ref_key).withColumn("s", F.col("dot") / (F.sqrt("own_norm") * F.sqrt("ref_norm")))
-    best = scored.groupBy(key).agg(F.max(F.struct("s", (-F.col(ref_key)).alias("r"))).alias("b"))
-    return rows.select(key).join(best, key, "left").select(key, (-F.col("b.r")).alias(ref_key), F.coalesce("b.s", F.lit(0.0)).alias("similarity"))
+    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col(ref_key).alias("r"))).alias("b"))
+    return rows.select(key).join(best, key, "left").select(key, F.col("b.r").alias(ref_key), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("similarity"))
+
+
+def _prefixes(terms: DataFrame, key: str, n: str, order: DataFrame, rest: float) -> DataFrame:
+    """key, token, n, df, norm (squared), tail, last: each text's rarest words, up to where the rest has less than rest of its norm.
+
+    tail is the share of the norm after a word, last the word and frequency that end the prefix, and its own tail. A window
+    covers one text's distinct words.
+    """
+    norms = terms.groupBy(key).agg(F.sum(F.col(n) * F.col(n)).alias("norm"))
+    known = terms.join(order, "token").join(norms, key)
+    square = F.col(n) * F.col(n)
+    own = Window.partitionBy(key)
+    up_to = F.sum(square).over(own.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0))
+    after = known.withColumn("after", F.sum(square).over(own) - up_to)
+    kept = after.filter((F.col("after") + square) >= F.lit(rest * rest * (1 - 1e-12)) * F.col("norm"))
+    tail = F.sqrt(F.col("after") / F.col("norm"))
+    kept = kept.select(key, "token", n, "df", "norm", tail.alias("tail"))
+    return kept.withColumn("last", F.max(F.struct("df", "token", "tail")).over(own))
+
+
+def candidates(own: DataFrame, other: DataFrame, key: str, ref_key: str, threshold: float, rest: float | None = None) -> DataFrame:
+    """key, ref_key of all pairs that may be closer than threshold, and few others; own: key, token, n; other: ref_key, token, m.
+
+    Words are ordered from rare to frequent. Two texts that close share a word of both their prefixes: shared words that are in
+    but one prefix lie after its end, where the rest of that text is too short. Only prefixes join, so frequent words, which
+    few texts need in theirs, meet nowhere. A pair stays if the words its prefixes share, and the most that what follows can add, reach the threshold.
+    A prefix ends where what follows has less than rest of the text's norm: the threshold, if not less; less makes longer prefixes and fewer candidates.
+    """
+    rest = threshold if rest is None else rest
+    if not 0 < rest <= threshold:
+        raise ValueError("rest must be above 0 and at most the threshold")
+    shared = other.groupBy("token").agg(F.count("*").alias("k")).join(own.groupBy("token").agg(F.count("*").alias("j")), "token")
+    order = shared.select("token", (F.col("k") + F.col("j")).alias("df"))
+    left = _prefixes(own, key, "n", order, rest).select(key, "token", "df", "n", F.col("norm").alias("a"), F.col("tail").alias("tail_a"), F.col("last").alias("last_a"))
+    right = _prefixes(other, ref_key, "m", order, rest).select(ref_key, "token", "m", F.col("norm").alias("c"), F.col("tail").alias("tail_c"), F.col("last").alias("last_c"))
+    met = left.join(right, "token").groupBy(key, ref_key).agg(
+        (F.sum(F.col("n") * F.col("m")) / (F.sqrt(F.first("a")) * F.sqrt(F.first("c")))).alias("part"),
+        F.max(F.struct("df", "token", "tail_a", "tail_c")).alias("at"),
+        F.first("last_a").alias("x"), F.first("last_c").alias("y"),
+    )
+    # What the prefixes don't share lies after the end of the one that ends first.
+    first = F.struct("x.df", "x.token") <= F.struct("y.df", "y.token")
+    more = F.least(F.col("at.tail_a") * F.col("at.tail_c"), F.when(first, F.col("x.tail") * F.col("at.tail_c")).otherwise(F.col("at.tail_a") * F.col("y.tail")))
+    return met.filter(F.col("part") + more > threshold - 1e-9).select(key, ref_key)
+
+
+def similar_pairs(rows: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", text: str = "text", threshold: float = 0.85, rest: float | None = None) -> DataFrame:
+    """key, ref_key, similarity of all pairs with a cosine of word counts above threshold.
+
+    Both sides may be of any size: candidates() are joined with all words of the two texts, and the exact similarity decides.
+    """
+    own = materialize(term_counts(rows, key, text), "words")
+    other = materialize(term_counts(references, ref_key, text).withColumnRenamed("n", "m"), "words")
+    found = materialize(candidates(own, other, key, ref_key, threshold, rest), "pairs")
+    norms = own.join(found.select(key).distinct(), key).groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias("a"))
+    ref_norms = other.groupBy(ref_key).agg(F.sum(F.col("m") * F.col("m")).alias("c"))
+    dots = found.join(own, key).join(other, [ref_key, "token"]).groupBy(key, ref_key).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    scored = dots.join(norms, key).join(ref_norms, ref_key).withColumn("similarity", F.col("dot") / (F.sqrt("a") * F.sqrt("c")))
+    return scored.filter(F.col("similarity") > threshold).select(key, ref_key, "similarity")
+
+
+def flags(rows: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
+    """key, n_close, flagged for every row: the number of references closer than threshold, as closest() flags it."""
+    close = similar_pairs(rows, references, key, ref_key, text, threshold).groupBy(key).agg(F.count("*").alias("n_close"))
+    return rows.select(key).join(close, key, "left").select(key, F.coalesce("n_close", F.lit(0)).alias("n_close"), F.col("n_close").isNotNull().alias("flagged"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import latex, prompts, runs, scoring
 from ..functions import text as X
-from ..operators import overlap, relational, vector
+from ..operators import ivf, overlap, relational, vector
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,14 +39,17 @@ def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 # --- Overlap and retrieval -------------------------------------------------------------------------
 
 
-@_query(r"""
+_COSINES = r"""
 WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents),
 d AS (SELECT doc_id, token, count(*) AS n FROM dt GROUP BY ALL),
 bt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark),
 b AS (SELECT item_id, token, count(*) AS m FROM bt GROUP BY ALL),
 dn AS (SELECT doc_id, sum(n * n) AS a FROM d GROUP BY doc_id), bn AS (SELECT item_id, sum(m * m) AS c FROM b GROUP BY item_id),
 p AS (SELECT doc_id, item_id, sum(n * m) AS dot FROM d JOIN b USING (token) GROUP BY ALL),
-s AS (SELECT doc_id, item_id, dot / (sqrt(a) * sqrt(c)) AS s FROM p JOIN dn USING (doc_id) JOIN bn USING (item_id)),
+s AS (SELECT doc_id, item_id, dot / (sqrt(a) * sqrt(c)) AS s FROM p JOIN dn USING (doc_id) JOIN bn USING (item_id))"""
+
+
+@_query(_COSINES + """,
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, item_id) AS k FROM s)
 SELECT x.doc_id, r.item_id, round(coalesce(r.s, 0.0), 6) AS similarity, coalesce(r.s, 0.0) > 0.85 AS flagged
 FROM documents x LEFT JOIN r ON r.doc_id = x.doc_id AND k = 1""")
@@ -55,6 +58,20 @@ def overlap_screen(spark, sf_dir):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@_query(_COSINES + """,
+c AS (SELECT doc_id, count(*) AS n_close FROM s WHERE s > 0.85 GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_close, 0) AS n_close, n_close IS NOT NULL AS flagged FROM documents x LEFT JOIN c ON c.doc_id = x.doc_id""")
+def overlap_flags(spark, sf_dir):
+    return overlap.flags(_texts(spark, sf_dir, "doc_id", "text"), _t(spark, sf_dir, "benchmark"))
+
+
+@_query(_COSINES + """
+SELECT doc_id, item_id, round(s, 6) AS similarity FROM s WHERE s > 0.6""")
+def overlap_pairs(spark, sf_dir):
+    out = overlap.similar_pairs(_texts(spark, sf_dir, "doc_id", "text"), _t(spark, sf_dir, "benchmark"), threshold=0.6)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @_query(r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents)
 SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY token""")
@@ -77,6 +94,27 @@ def vector_top_k(spark, sf_dir):
     return vector.top_k(rows, rows.filter("vec_id % 20 = 0"), 10).withColumn("sim", F.round("sim", 6))
 
 
+@_query()
+def vector_ivf_top_k(spark, sf_dir):
+    """Without SQL: an inverted file finds most neighbours, not all; tests hold its recall against the exact query."""
+    rows = _t(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 20 = 0")
+    index = ivf.build(rows, 32)
+    return ivf.search(index, asked, 10, ivf.calibrated(index, asked)).withColumn("sim", F.round("sim", 6))
+
+
+@_query("""
+WITH t AS (SELECT 'paper/' || CAST(vec_id AS VARCHAR) AS id, embedding AS e, vec_id FROM embeddings),
+s AS (SELECT q.id AS query, t.id AS id, round(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(t.e AS DOUBLE[])), 9) AS sim FROM t q JOIN t ON t.id <> q.id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS rank FROM s)
+SELECT query, id, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10""")
+def vector_top_k_by_text_id(spark, sf_dir):
+    """Ids are texts and there is no label, as in an index file."""
+    rows = _t(spark, sf_dir, "embeddings").select(F.concat(F.lit("paper/"), "vec_id").alias("id"), "embedding", "vec_id")
+    hits = vector.top_k(rows.drop("vec_id"), rows.filter("vec_id % 20 = 0"), 10, "id", "embedding", None)
+    return hits.withColumn("sim", F.round("sim", 6))
+
+
 @_query(_TOPK + """, g AS (SELECT query, min_by(id, rank) AS top1_id, max(CASE WHEN label = gold_label THEN 1.0 ELSE 0.0 END) AS recall, round(avg(sim), 4) AS mean_sim
     FROM r WHERE rank <= 50 GROUP BY query)
 SELECT query, top1_id, CAST(recall AS DOUBLE) AS recall, mean_sim, round(0.5 * recall + 0.5 * mean_sim, 6) AS retrieval_score FROM g""")
