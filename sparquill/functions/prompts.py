@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,11 +36,16 @@ def preview(refs: Column, n: int) -> Column:
 
 
 def fill(template: str, **values: Column) -> Column:
-    """A template with {name} places filled."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
-    return out
+    """A template with {name} places filled, {{ and }} standing for braces; what a value brings in is not filled again, a null value is empty.
+
+    A place without a value is an error.
+    """
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts.append(F.lit(text))
+        if name is not None:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def seeded_order(key: Column, seed: int) -> Column:

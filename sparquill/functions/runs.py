@@ -107,17 +107,45 @@ def _json_metrics(line: Column) -> Column:
     return F.when(F.startswith(line, F.lit("{")), F.from_json(line, _MAP, _STRICT))
 
 
+#: Texts, numbers and constants as a dict literal writes them; nan is taken for none.
+_TEXT = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_NUMBER = r"[-+]?(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][-+]?\d+)?"
+_PLAIN = rf"{_TEXT}|{_NUMBER}|True|False|None|nan"
+_VALUE = rf"(?:{_PLAIN}|[(\[]\s*(?:(?:{_PLAIN})\s*,?\s*)*[)\]])"
+_PAIR = rf"(?:{_TEXT}|{_NUMBER})\s*:\s*{_VALUE}"
+
+
+def _unquoted(c: Column) -> Column:
+    """A text literal's text, escapes of single characters undone; other literals as they are."""
+    inner = F.regexp_replace(F.regexp_extract(c, r"(?s)^['\"](.*)['\"]$", 1), r"(?s)\\(.)", "$1")
+    return F.when(F.regexp_like(c, F.lit(r"^['\"]")), inner).otherwise(c)
+
+
+def _literal_pairs(body: Column) -> Column:
+    """The entries of a dict literal as a map of texts; null where it isn't one. Of equal keys the last counts; lists and tuples are no numbers, so null."""
+    whole = F.regexp_like(body, F.lit(rf"^\{{\s*{_PAIR}\s*(?:,\s*{_PAIR}\s*)*,?\s*\}}$"))
+    found = F.regexp_extract_all(body, F.lit(_PAIR), F.lit(0))
+    key = rf"^({_TEXT}|{_NUMBER})\s*:\s*(?s:(.*))$"
+
+    def entry(pair: Column) -> Column:
+        value = F.regexp_extract(pair, key, 2)
+        text = F.when(value == "True", "true").when(value == "False", "false").when(value.isin("None", "nan") | F.regexp_like(value, F.lit(r"^[(\[]")), F.lit(None)).otherwise(_unquoted(value))
+        return F.struct(_unquoted(F.regexp_extract(pair, key, 1)).alias("key"), text.alias("value"))
+
+    entries = F.transform(found, entry)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.when(whole, F.map_from_entries(last))
+
+
 def _dict_metrics(line: Column) -> Column:
-    """The first {...} without inner braces as a map of texts: JSON as it is, else a dict literal with its quotes and constants normalised."""
+    """The first {...} without inner braces as a map of texts: JSON as it is, else a dict literal."""
     body = F.regexp_extract(line, r"(\{[^{}]+\})", 1)
-    text = body
-    for old, new in ((r"'", '"'), (r"\bNone\b|\bnan\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false")):
-        text = F.regexp_replace(text, old, new)
-    return F.when(body != "", F.coalesce(F.from_json(body, _MAP, _STRICT), F.from_json(text, _MAP)))
+    return F.when(body != "", F.coalesce(F.from_json(body, _MAP, _STRICT), _literal_pairs(body)))
 
 
 def _doubles(found: Column) -> Column:
-    return F.transform_values(found, lambda _, v: v.try_cast("double"))
+    """Numbers, and true and false as 1 and 0."""
+    return F.transform_values(found, lambda _, v: F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double")))
 
 
 def _has(found: Column, keys: tuple[str, ...]) -> Column:
@@ -140,18 +168,30 @@ def first_metric(found: Column, keys: tuple[str, ...]) -> Column:
     return out
 
 
-def reward(line: Column) -> Column:
-    """The reward of a line: a JSON line's, else that of key:value pairs of the console, else that of a dict literal."""
-    whole = _json_metrics(line)
+def parsed(line: Column) -> Column:
+    """A line's two maps, of a JSON line and of its first dict; select this once, then take reward_in() and loss_in() of it."""
+    return F.struct(_json_metrics(line).alias("json"), _dict_metrics(line).alias("dict"))
+
+
+def reward_in(line: Column, found: Column) -> Column:
+    """The reward of a line: a JSON line's, else that of key:value pairs of the console, else that of a dict literal. found: parsed(line)."""
     console = F.contains(line, F.lit("step:")) & F.contains(line, F.lit("critic/rewards/mean:"))
     value = F.regexp_extract(line, r"critic/rewards/mean:([-\d.eE+]+)", 1).try_cast("double")
-    return F.when(whole.isNotNull(), first_metric(_doubles(whole), REWARD_KEYS)).when(console, value).otherwise(first_metric(_doubles(_dict_metrics(line)), REWARD_KEYS))
+    return F.when(found["json"].isNotNull(), first_metric(_doubles(found["json"]), REWARD_KEYS)).when(console, value).otherwise(first_metric(_doubles(found["dict"]), REWARD_KEYS))
+
+
+def loss_in(found: Column) -> Column:
+    """The loss of a JSON line, else that of a dict literal that has no reward. found: parsed(line)."""
+    own = first_metric(_doubles(found["json"]), LOSS_KEYS)
+    return F.when(found["json"].isNotNull(), own).when(~_has(found["dict"], ("reward",)), first_metric(_doubles(found["dict"]), LOSS_KEYS))
+
+
+def reward(line: Column) -> Column:
+    return reward_in(line, parsed(line))
 
 
 def loss(line: Column) -> Column:
-    """The loss of a JSON line, else that of a dict literal that has no reward."""
-    whole, found = _json_metrics(line), _dict_metrics(line)
-    return F.when(whole.isNotNull(), first_metric(_doubles(whole), LOSS_KEYS)).when(~_has(found, ("reward",)), first_metric(_doubles(found), LOSS_KEYS))
+    return loss_in(parsed(line))
 
 
 def last_match(lines: Column, pattern: str) -> Column:

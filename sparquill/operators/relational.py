@@ -35,7 +35,10 @@ def pending(rows: DataFrame, key: str, *done: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order, all columns; each key's rows meet in one task, sorted on disk if need be."""
+    """The first row of each key in the given order, all columns.
+
+    Spark keeps each task's first row of a key before it deals rows out by key (WindowGroupLimit), so a hot key sends a row a task.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
@@ -73,7 +76,10 @@ def pinned(refs: Column, pinned_count: Column | int, most: int, seed: int = 42)
 
 
 def tail_mean(rows: DataFrame, keys: list[str], value: str, order: Column, n: int, otherwise: float) -> DataFrame:
-    """Each key's mean of its last n values that are not null; otherwise where it has none."""
+    """Each key's mean of its last n values that are not null; otherwise where it has none.
+
+    Keys are found by a partial aggregate, and of their values each task sends its last n (WindowGroupLimit), so a hot key is no burden.
+    """
     every = rows.select(*keys).distinct()
     w = Window.partitionBy(*keys).orderBy(order.desc())
     last = rows.filter(F.col(value).isNotNull()).withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n)
@@ -81,6 +87,11 @@ def tail_mean(rows: DataFrame, keys: list[str], value: str, order: Column, n: in
     return every.join(means, keys, "left").withColumn("tail_mean", F.coalesce("tail_mean", F.lit(otherwise)))
 
 
+def last_value(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Each key's value at the highest order that has one, null where none has; a partial aggregate."""
+    return rows.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value))
+
+
 def skip_counts(rows: DataFrame, **reasons: Column) -> DataFrame:
     """reason, n: rows by the first reason that holds; kept for none."""
     reason = F.when(F.lit(False), "")
@@ -89,10 +100,25 @@ def skip_counts(rows: DataFrame, **reasons: Column) -> DataFrame:
     return rows.groupBy(reason.otherwise("kept").alias("reason")).agg(F.count("*").alias("n"))
 
 
+def missing_ordinals(rows: DataFrame, key: str, ordinal: str, block: int = 4096) -> DataFrame:
+    """key, missing: the smallest ordinal from 0 on that a key lacks.
+
+    A key's ordinals are looked at in blocks, each by a partial aggregate; what is sorted together are blocks, not rows.
+    """
+    # Ordinals below 0 are none; a key with no others lacks 0.
+    numbers = rows.select(F.col(key), F.col(ordinal).cast("long").alias("o")).withColumn("b", F.when(F.col("o") >= 0, F.floor(F.col("o") / block)))
+    own = numbers.groupBy(key, "b").agg(F.collect_set("o").alias("s"))
+    gap = F.array_min(F.array_except(F.sequence(F.col("b") * block, F.col("b") * block + block - 1), F.col("s")))
+    gaps = own.select(key, "b", gap.alias("gap")).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("b"))) - 1)
+    # A block that is not there at all leaves the next one out of its place: its first ordinal is missing.
+    first = F.when(F.col("b").isNull() | (F.col("b") > F.col("place")), F.col("place") * block).otherwise(F.col("gap"))
+    after = (F.max(F.when(F.col("b").isNotNull(), F.col("b"))) + 1) * block
+    return gaps.groupBy(key).agg(F.coalesce(F.min(first), after, F.lit(0)).cast("long").alias("missing"))
+
+
 def numbered_prefix(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """Rows whose ordinals run from 0 without a gap, up to the first gap of their key."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(ordinal)) - 1
-    return rows.withColumn("__n", n).filter(F.col("__n") == F.col(ordinal)).drop("__n")
+    """Rows whose ordinals run from 0 without a gap, up to the first gap of their key; rows that share an ordinal all count."""
+    return rows.join(missing_ordinals(rows, key, ordinal), key).filter((F.col(ordinal) >= 0) & (F.col(ordinal) < F.col("missing"))).drop("missing")
 
 
 def row_at(rows: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import latex, prompts, runs, scoring
 from ..functions import text as X
-from ..operators import ivf, overlap, relational, vector
+from ..operators import ivf, overlap, places, relational, vector
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,6 +265,20 @@ def seeded_shuffle_splits(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", "lang", prompts.seeded_order(F.col("doc_id"), 7).alias("place"))
 
 
+@_query("""SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) - 1 AS place FROM documents""")
+def seeded_places(spark, sf_dir):
+    """A shuffled order as numbers from 0, for all rows."""
+    rows = _t(spark, sf_dir, "documents").select("doc_id", prompts.seeded_order(F.col("doc_id"), 7).alias("key"))
+    return places.dense_places(rows, "key", "doc_id").select("doc_id", "place")
+
+
+@_query("""SELECT doc_id, 'See "' || lang || '" {n} ' || source || ': ' || coalesce(text, '') || ' {source}' AS prompt FROM documents""")
+def filled_templates(spark, sf_dir):
+    """Places are filled once, whatever braces the values have."""
+    head = prompts.fill('See "{lang}" {{n}} {source}: {text} {{source}}', lang=F.col("lang"), source=F.col("source"), text=F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", head.alias("prompt"))
+
+
 # --- Text shaping ----------------------------------------------------------------------------------
 
 
@@ -508,7 +522,24 @@ def log_metrics(spark, sf_dir):
     form = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("event_id") % len(_LINES) + 1).cast("int"))
     line = F.replace(F.replace(form, F.lit("@v"), v), F.lit("@n"), n)
     rows = tables.spread(_t(spark, sf_dir, "events")).select("event_id", runs.plain_line(line).alias("line"))
-    return rows.select("event_id", F.round(runs.reward(F.col("line")), 4).alias("reward"), F.round(runs.loss(F.col("line")), 4).alias("loss"), runs.progress(F.col("line"))["step"].alias("step"))
+    found = rows.select("event_id", "line", runs.parsed(F.col("line")).alias("found"))
+    own, line = F.col("found"), F.col("line")
+    return found.select("event_id", F.round(runs.reward_in(line, own), 4).alias("reward"), F.round(runs.loss_in(own), 4).alias("loss"), runs.progress(line)["step"].alias("step"))
+
+
+#: Dict literals of mixed quotes, with tuples, lists and constants; two that are none; a repeated key.
+_DICTS = (
+    """{'msg': "it's", 'reward': @v}""", """{'reward': @v, 'shape': (1, 2)}""", """{"reward": true}""", """out {'a': 'x, "reward": 9', 'reward': @v, 'b': [1, 'q', None]}""",
+    """{'reward': @v, oops}""", """{'reward': 0.1, "reward": @v}""", """x {'reward': True, 'loss': @v}""", """{'loss': @v, 'why': 'a \\'quoted\\' word'}""", """{'reward': @v, 'b': (}""",
+)
+
+
+@_query("""SELECT event_id, CASE WHEN event_id % 9 IN (0, 1, 3, 5) THEN round(value, 4) WHEN event_id % 9 IN (2, 6) THEN 1.0 END AS reward, CASE WHEN event_id % 9 = 7 THEN round(value, 4) END AS loss FROM events""")
+def log_dicts(spark, sf_dir):
+    form = F.element_at(F.array(*map(F.lit, _DICTS)), (F.col("event_id") % len(_DICTS) + 1).cast("int"))
+    rows = tables.spread(_t(spark, sf_dir, "events")).select("event_id", F.replace(form, F.lit("@v"), F.format_string("%.4f", F.col("value"))).alias("line"))
+    found = rows.select("event_id", "line", runs.parsed(F.col("line")).alias("found"))
+    return found.select("event_id", F.round(runs.reward_in(F.col("line"), F.col("found")), 4).alias("reward"), F.round(runs.loss_in(F.col("found")), 4).alias("loss"))
 
 
 @_query("""

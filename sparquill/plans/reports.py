@@ -242,8 +242,8 @@ def formatted_figures(spark, sf_dir):
 def test_accuracies(spark, sf_dir):
     """The accuracy of each user's last line that reports one."""
     line = F.when(F.col("event_type") == "purchase", F.concat(F.lit("TEST_METRICS: loss=1 test_acc="), F.format_string("%.3f", F.col("value") / 100))).otherwise("epoch 1 test_acc=9")
-    rows = _t(spark, sf_dir, "events").select("user_id", F.struct("event_id", line.alias("line")).alias("x")).groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return rows.select("user_id", F.round(runs.test_accuracy(F.col("x.line")), 3).alias("accuracy"))
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_id", runs.test_accuracy(F.array(line)).alias("accuracy"))
+    return relational.last_value(rows, ["user_id"], "accuracy", "event_id").withColumn("accuracy", F.round("accuracy", 3))
 
 
 @_query(r"""SELECT doc_id, md5(array_to_string(lines[1:1] || ['new', 'lines'] || lines[4:], chr(10))) AS digest FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)""")

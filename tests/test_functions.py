@@ -69,6 +69,13 @@ def test_reference_block(spark):
     assert second == "[2] t (n.d.)\nAbstract: (no abstract available)"
 
 
+def test_fill_once(spark):
+    assert one(spark, prompts.fill("{a} {b}", a=F.lit("see {b}"), b=F.lit("Z"))) == "see {b} Z"
+    assert one(spark, prompts.fill("{{a}} {a}{a}", a=F.lit(None).cast("string"))) == "{a} "
+    with pytest.raises(KeyError):
+        prompts.fill("{missing}")
+
+
 def test_log_lines(spark):
     assert one(spark, runs.reward(F.lit('{"reward": 0.5}'))) == 0.5
     assert one(spark, runs.reward(F.lit("step:3 - critic/rewards/mean:0.25 - x:1"))) == 0.25
@@ -87,6 +94,16 @@ def test_log_lines(spark):
         ('{"loss": 0.5, "reward": 1}', 1.0, 0.5),
         ("{'loss': 0.5, 'reward': 1}", 1.0, None),
         ("{'loss': 0, 'train_loss': 3}", None, 0.0),
+        ("{'msg': \"it's\", 'reward': 0.5}", 0.5, None),
+        ("{'reward': 0.5, 'shape': (1, 2)}", 0.5, None),
+        ("{'reward': 0.5, 'rest': [], 'x': ('a', \"b\",), 1: 2,}", 0.5, None),
+        ('{"reward": true}', 1.0, None),
+        ("{'reward': False}", 0.0, None),
+        ("{'reward': '0.5'}", 0.5, None),
+        ("{'reward': (1, 2)}", None, None),
+        ("{'reward': 0.5, oops}", None, None),
+        ("{'a': \"'reward': 7\", 'reward': 1e-3}", 0.001, None),
+        ("{'reward': 1, 'reward': 2}", 2.0, None),
     ],
 )
 def test_log_line_forms(spark, line, reward, loss):

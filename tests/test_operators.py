@@ -232,3 +232,23 @@ def test_nulls_come_last(spark):
 
 def test_settings_file():
     assert config.loaded('{"a": {"b": 1}}') == {"a": {"b": 1}}
+
+
+def test_prefixes_of_long_and_hot_keys(spark):
+    """Gaps at and across the bounds of blocks, rows that share an ordinal, a key without 0, one below 0, and none at all."""
+    keys = {"full": range(20), "gap": [0, 1, 2, 4, 5], "edge": [*range(8), *range(9, 12)], "far": [*range(8), *range(12, 30)], "late": [3, 4], "twice": [0, 0, 1, 3], "below": [-1, 0, 1], "only": [-2]}
+    rows = spark.createDataFrame([(k, o) for k, v in keys.items() for o in v], "key string, o int")
+    got = dict(relational.missing_ordinals(rows, "key", "o", block=4).collect())
+    assert got == {k: min(set(range(100)) - set(v)) for k, v in keys.items()}
+    kept = {tuple(r) for r in relational.numbered_prefix(rows, "key", "o").collect()}
+    assert kept == {(k, o) for k, v in keys.items() for o in v if 0 <= o < got[k]}
+    assert relational.missing_ordinals(rows.limit(0), "key", "o").count() == 0
+
+
+def test_hot_keys_are_cut_before_they_meet(spark):
+    rows = spark.range(0, 10_000, 1, 8).selectExpr("concat('hot', id div 100000) AS key", "id", "IF(id < 9000, id, NULL) AS v")
+    for df in (relational.latest(rows, ["key"], F.desc("id")), relational.tail_mean(rows, ["key"], "v", F.col("id"), 5, 0.0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+    assert relational.tail_mean(rows, ["key"], "v", F.col("id"), 5, 0.0).first()["tail_mean"] == 8997.0
+    assert relational.last_value(rows, ["key"], "v", "id").first()["v"] == 8999
