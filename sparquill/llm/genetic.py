@@ -157,8 +157,11 @@ def evolve(sizes: np.ndarray, people: list[Packing], capacity: int, cfg: Genetic
 _STATE = "block long, island int, sizes binary, people array<binary>, n_bins int, fitness double, done boolean"
 
 
-def _epoch(state: DataFrame, capacity: int, cfg: GeneticConfig, seed: tuple[int, int]) -> DataFrame:
-    """The state after an epoch of all islands that are not done; people are packings, best first."""
+def _epoch(state: DataFrame, tasks: int, capacity: int, cfg: GeneticConfig, seed: tuple[int, int]) -> DataFrame:
+    """The state after an epoch of all islands that are not done; people are packings, best first.
+
+    The number of tasks is given, as rows have so few bytes that they would be put together into a few tasks.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(it, 1):
@@ -172,7 +175,7 @@ def _epoch(state: DataFrame, capacity: int, cfg: GeneticConfig, seed: tuple[int,
             held = people[:1] if done else people
             yield pa.RecordBatch.from_pylist([{**row, "people": [p.bins.astype("<i4").tobytes() for p in held], "n_bins": -bins, "fitness": fitness, "done": done}], batch.schema)
 
-    return state.repartition("block", "island").mapInArrow(run, _STATE)
+    return state.repartition(tasks, "block", "island").mapInArrow(run, _STATE)
 
 
 def _migrated(state: DataFrame, islands: int) -> DataFrame:
@@ -229,7 +232,7 @@ def pack_items(items: DataFrame, capacity: int, cfg: GeneticConfig = GeneticConf
         islands = F.explode(F.sequence(F.lit(0), F.lit(cfg.islands - 1))).alias("island")
         state = blocks.select("block", islands, "sizes", F.array().cast("array<binary>").alias("people"), F.lit(0).alias("n_bins"), F.lit(0.0).alias("fitness"), F.lit(False).alias("done"))
         for epoch in range(cfg.epochs):
-            state = C.materialize(_epoch(state, capacity, cfg, (level, epoch)), "islands")
+            state = C.materialize(_epoch(state, min(n * cfg.islands, 10_000), capacity, cfg, (level, epoch)), "islands")
             if epoch + 1 == cfg.epochs or not state.groupBy("block").agg(F.max("done").alias("over")).filter("not over").take(1):
                 break
             state = _migrated(state, cfg.islands)
