@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.scratch import scratch_path, scratch_root  # noqa: F401 (for the operators)
 from ..sources.tables import spread
 
 #: The white space of the contracts: space and the control characters 9 to 13.
@@ -25,40 +22,21 @@ U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
-#: Rows of the Arrow batches that tasks exchange with their Python workers; both hold a batch of whole texts in memory.
-ARROW_ROWS = 2000
-_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Bytes of the Arrow batches that tasks exchange with their Python workers; both hold a batch of whole texts in memory.
+ARROW_BYTES = "8m"
+_ARROW_KEY, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Sets ARROW_ROWS in a session that has Spark's default; any other setting stays."""
+    """Bounds batches by ARROW_BYTES in a session that has Spark's default bound; any other setting stays. Only the size of batches depends on it, no result."""
     if spark.conf.get(_ARROW_KEY) == _ARROW_DEFAULT:
-        spark.conf.set(_ARROW_KEY, ARROW_ROWS)
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is set, a local master gets one for its own lifetime; a cluster must name one."""
-    bound_batches(spark)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-scratch-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        spark.conf.set(_ARROW_KEY, ARROW_BYTES)
 
 
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write df once to the shared folder and read it back, so that a lost executor costs no recomputation upstream."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """scratch.materialize() with bounded Arrow batches."""
+    bound_batches(df.sparkSession)
+    return scratch.materialize(df, label, compression)
 
 
 def quoted(name: str) -> Column:
@@ -81,23 +59,61 @@ PLACE = "struct<file:long,at:long>"
 def placed(docs: DataFrame, scan: bool) -> tuple[DataFrame, str]:
     """docs with a column of type PLACE that no two rows share, and the column's name.
 
-    With scan, docs is a table as it is read from Parquet files; any other table is written first.
+    With scan, docs is a table as it is read from Parquet files; any other table is written first. The files' own
+    metadata count, whatever columns docs has.
     """
+    bound_batches(docs.sparkSession)
     name = free_name(docs.columns, "place")
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name)
+
+    def with_place(rows: DataFrame) -> DataFrame:
+        meta = rows.metadataColumn("_metadata")
+        return rows.select("*", F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at")).alias(name))
+
     if scan:
         try:
-            return spread(docs.select("*", place)), name
+            return spread(with_place(docs)), name
         except AnalysisException:  # not read from files after all
             pass
-    return spread(materialize(docs, "rows").select("*", place)), name
+    return spread(with_place(materialize(docs, "rows"))), name
 
 
-def without(rows: DataFrame, place: str, gone: DataFrame, limit: int = 300_000) -> DataFrame:
-    """The rows whose place is not in gone (one column); gone is sent to all tasks if it has few rows, else both sides are shuffled."""
-    gone = materialize(gone.toDF("gone"), "gone")
-    gone = F.broadcast(gone) if gone.count() <= limit else gone
-    return rows.join(gone, quoted(place) == F.col("gone"), "left_anti").drop(place)
+#: Places of a file that one row of a table of bits covers: 64 numbers of 64 bits.
+_SPAN = 12
+#: Most bytes of such a table that are sent to all tasks, and those of a row of it.
+BITS_BYTES = 64_000_000
+_BITS_ROW = 640
+
+
+def _bits(wanted: DataFrame) -> DataFrame:
+    """file, span, bits: a bit for every place (the one column of wanted), set by partial aggregates; a place has few bytes at most, many close ones a bit each."""
+    at = F.col("at.at")
+    rows = wanted.toDF("at").select(F.col("at.file").alias("file"), F.shiftright(at, _SPAN).alias("span"), F.shiftright(at, 6).bitwiseAND(F.lit(63)).alias("w"), F.expr("shiftleft(1L, CAST(at.at & 63 AS INT))").alias("b"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("w") == k, F.col("b"))), F.lit(0).cast("long")) for k in range(64)]
+    return rows.groupBy("file", "span").agg(F.array(*words).alias("bits"))
+
+
+def at_places(rows: DataFrame, place: str, wanted: DataFrame, keep: bool) -> DataFrame:
+    """The rows whose place is in wanted (one column), or with keep False those whose place isn't.
+
+    wanted goes to all tasks as bits, while these have at most BITS_BYTES (some 400 million rows of a table, however many are wanted); beyond,
+    rows and wanted are joined by a shuffle.
+    """
+    held = materialize(wanted.toDF("wanted"), "wanted")
+    bits = materialize(_bits(held), "bits")
+    if bits.count() * _BITS_ROW > BITS_BYTES:
+        return rows.join(held, quoted(place) == F.col("wanted"), "left_semi" if keep else "left_anti")
+    names = {n: free_name(rows.columns, f"__{n}") for n in ("file", "span", "bits")}
+    bits = F.broadcast(bits.toDF(*names.values()))
+    own, at = quoted(place), quoted(place)["at"]
+    joined = rows.join(bits, (own["file"] == F.col(names["file"])) & (F.shiftright(at, _SPAN) == F.col(names["span"])), "inner" if keep else "left")
+    word = F.get(F.col(names["bits"]), F.shiftright(at, 6).bitwiseAND(F.lit(63)).cast("int"))
+    bit = F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
+    return joined.filter(F.coalesce(bit, F.lit(0)) == int(keep)).select(*map(quoted, rows.columns))
+
+
+def without(rows: DataFrame, place: str, gone: DataFrame) -> DataFrame:
+    """The rows whose place is not in gone (one column), without their place."""
+    return at_places(rows, place, gone, False).drop(place)
 
 
 def join_counted(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:

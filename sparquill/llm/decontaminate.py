@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import spread
 from . import common as C
 
-#: Words are compared in lower case and without ASCII marks.
+#: Words are compared in lower case, of any script, and without ASCII marks.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 else c for c in range(256))
 
 
@@ -30,8 +30,8 @@ class SeedConfig:
     unequal words of an overlap are placed, one of these masks hits it. An overlap is window aligned words of which matches are equal.
 
     An item shorter than window must match as a whole, with the same share of equal words; one of fewer than shortest
-    words says too little to be looked for inside a text, and must be all of a document's words. block_bytes bounds
-    the benchmark text that is sent to all tasks.
+    words says too little to be looked for inside a text, and must be all of a document's words; with inside it is looked for,
+    word for word, wherever it stands. block_bytes bounds the benchmark text that is sent to all tasks.
     """
 
     masks: tuple[str, ...] = ("11101011", "110100111", "1110001011", "1111011", "10100001111")
@@ -39,6 +39,7 @@ class SeedConfig:
     window: int = 13
     matches: int = 10
     shortest: int = 5
+    inside: bool = False
     block_bytes: int = 4_000_000
 
     def places(self, n: int) -> set[tuple[int, ...]]:
@@ -48,7 +49,7 @@ class SeedConfig:
 
 
 def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    return C.word_hashes(t.translate(_PLAIN) for t in texts)
+    return C.word_hashes((t if t.isascii() else t.decode().lower().encode()).translate(_PLAIN) for t in texts)
 
 
 def _seeds(words: np.ndarray, places: tuple[int, ...], number: int) -> np.ndarray:
@@ -86,6 +87,11 @@ def document_seeds(words: np.ndarray, bounds: np.ndarray, cfg: SeedConfig, numbe
     for places, k in numbers.items():
         seeds = _seeds(words, places, k)
         yield seeds, np.arange(len(seeds))
+    if cfg.inside:
+        for n in range(1, cfg.shortest):
+            seeds = _seeds(words, tuple(range(n)), 1000 + n)
+            yield seeds, np.arange(len(seeds))
+        return
     short = [int(a) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if 0 < b - a < cfg.shortest]
     ends = dict(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if short else {}
     yield np.array([_whole(words[a : ends[a]]) for a in short], C.U64), np.array(short, np.int64)
@@ -95,7 +101,7 @@ def verified(words: np.ndarray, item: np.ndarray, shift: int, cfg: SeedConfig) -
     """First word, words and equal words of an item laid on a text from word shift on, if that is an overlap."""
     first, last = max(shift, 0), min(shift + len(item), len(words))
     size = min(cfg.window, len(item))
-    if last - first < size or (len(item) < cfg.shortest and len(words) != len(item)):
+    if last - first < size or (len(item) < cfg.shortest and not cfg.inside and len(words) != len(item)):
         return None
     total = np.concatenate(([0], np.cumsum(words[first:last] == item[first - shift : last - shift])))
     if (total[size:] - total[:-size]).max() * cfg.window < size * cfg.matches:

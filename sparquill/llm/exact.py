@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Counters of a filter for each row counted, and the most that a filter sent to all tasks may have (16 MB at two bits).
+#: Counters of a filter for each row counted, and the most that a filter sent to all tasks may have (16 MB of bits; 128 MB in the tasks that count).
 COUNTERS_PER_ROW = 16
-MAX_COUNTERS = 1 << 26
+MAX_COUNTERS = 1 << 27
+#: At the most, rows may have as few as this many counters each.
+LEAST_PER_ROW = 8
 #: Rows of a range of hashes, where the filters are dealt.
 RANGE_ROWS = 1 << 20
 HASHES = 4
@@ -48,7 +50,9 @@ def _places(digests: list[bytes], counters: int) -> np.ndarray:
 
 
 def counters_for(rows: int) -> int:
-    return max(1 << 13, 1 << (COUNTERS_PER_ROW * max(rows, 1) - 1).bit_length())
+    """A power of two of counters; more than MAX_COUNTERS only where these would be under LEAST_PER_ROW a row."""
+    wanted = max(1 << 13, 1 << (COUNTERS_PER_ROW * max(rows, 1) - 1).bit_length())
+    return MAX_COUNTERS if wanted > MAX_COUNTERS >= LEAST_PER_ROW * rows else wanted
 
 
 class RepeatFilter:

@@ -136,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: TreeConfig = TreeConfig(), id
     C.bound_batches(docs.sparkSession)
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = own.filter(~_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.max_rows).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = docs.select(C.quoted(id_col).cast("long").alias("doc_id"), C.quoted(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.batches(it):

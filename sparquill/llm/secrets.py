@@ -94,8 +94,7 @@ def _ledger(spark, path: str) -> DataFrame | None:
 def _scan_new(rows: DataFrame, place: str, blobs: DataFrame, ledger: DataFrame | None, path: str, rules: tuple[Rule, ...]) -> None:
     """Scans the blobs (blob, at: the place of one row that holds it) for the rules not yet applied to them, and adds the results to the ledger.
 
-    Blobs with the same rules to apply are scanned in one pass, in the rows that hold them. Of these rows and all others,
-    the fewer are named to the tasks, so texts move only where there are many of both.
+    Blobs with the same rules to apply are scanned in one pass, in the rows that hold them, which the tasks know by a bit each.
     """
     keys = [r.key for r in rules]
     if ledger is None:
@@ -109,22 +108,11 @@ def _scan_new(rows: DataFrame, place: str, blobs: DataFrame, ledger: DataFrame |
     for due in [r["due"] for r in todo.filter(F.size("due") > 0).select("due").distinct().collect()]:
         wanted = todo.filter(F.col("due") == F.array(*map(F.lit, due))).select("blob", "at")
         own = tuple(r for r in rules if r.key in due)
-        found = scan(_at(rows, place, wanted.select("at")).select("blob", "text"), own)
+        found = scan(C.at_places(rows, place, wanted.select("at"), True).select("blob", "text"), own)
         done = wanted.select("blob", F.array(*map(F.lit, due)).alias("rules"), F.array().cast("array<struct<rule:string,start:int,end:int>>").alias("findings"))
         done.unionByName(found.select("blob", F.array().cast("array<string>").alias("rules"), "findings")).write.mode("append").parquet(path)
 
 
-def _at(rows: DataFrame, place: str, wanted: DataFrame, limit: int = 300_000) -> DataFrame:
-    """The rows at the wanted places."""
-    n = wanted.count()
-    if n <= limit:
-        return rows.join(F.broadcast(wanted), F.col(place) == F.col("at"), "left_semi")
-    others = rows.select(F.col(place).alias("other")).join(wanted, F.col("other") == F.col("at"), "left_anti")
-    if rows.count() - n <= limit:
-        return rows.join(F.broadcast(others), F.col(place) == F.col("other"), "left_anti")
-    return rows.join(wanted, F.col(place) == F.col("at"), "left_semi")
-
-
 def scan_history(versions: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "path", text_col: str = "text", scan: bool = False) -> DataFrame:
     """path, blob, findings (ordered by start, then by the rule's place in rules) for every row of versions.
 

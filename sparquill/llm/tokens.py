@@ -1,12 +1,13 @@
 """Token ids by a public tokenizer file, part by part through a bounded cache.
 
-The tokenizer of word_bpe_49k.json lower-cases, drops white space and never merges across it, nor
+A tokenizer as that of word_bpe_49k.json (any other is refused) lower-cases, drops white space and never merges across it, nor
 between an ASCII letter and an ASCII digit or mark other than an apostrophe, so a text's ids are
 those of such parts, one after the other. Texts repeat most parts; the cache encodes each once.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Iterable
@@ -51,10 +52,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._check(path)
         self.model, self.chars, self.limit = self.tokenizer.model, byte_chars(), limit
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
+    def _check(self, path: str) -> None:
+        """An error for a file whose tokenizer does not do what the parts rest on: lower case, parts removed at white space, words with ends."""
+        own = json.loads(self.tokenizer.to_str())
+        steps, cuts = ((x or {}).get(n, [x or {}]) for x, n in ((own["normalizer"], "normalizers"), (own["pre_tokenizer"], "pretokenizers")))
+        lower = any(s.get("type") == "Lowercase" for s in steps)
+        cut = any(c.get("type") == "Split" and c.get("behavior") == "Removed" and c.get("invert") for c in cuts)
+        if not (lower and cut and own["model"].get("end_of_word_suffix")):
+            raise ValueError(f"{path}: only tokenizers that lower-case and have word ends, cut at white space, can be encoded part by part")
+
     def _clear(self) -> None:
         self.keys, self.slots = np.zeros(0, C.U64), np.zeros(0, np.int64)
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)

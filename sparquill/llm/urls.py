@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
 #: Rules up to this size are compiled into a trie and broadcast; more are joined.
 MAX_BROADCAST_BYTES = 32_000_000
 
@@ -81,11 +85,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (host and path of the winning rule, else null), verdict (its, else default) for every row.
 
+    Hosts of rules are lower-cased as those of urls are.
     A null, empty or scheme-less url has an empty host and path, which no rule fits; a very long one is judged whole. Repeated rows and null
     ids are judged each, an empty table has no rows, and further columns are not read.
     """
-    host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    rules = [(h.translate(_LOWER), p, v) for h, p, v in rules]
+    host, path = host_and_path(C.quoted(url_col))
+    rows = pages.select(C.quoted(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if sum(len(h) + len(p) + 200 for h, p, _ in rules) > MAX_BROADCAST_BYTES:
         found = _by_join(rows, rules)
     else:
