@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparquill.llm import common, decontaminate, exact, minhash, packing, quality, tokens
+from sparquill.sources.scratch import discard
 from sparquill.sources.tables import spread
 
 
@@ -53,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder and read again."""
+    """All stages on documents, each written to the shared folder and read again; a stage's input goes once its output is there."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    held = None
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        if held is not None:
+            discard(held)
+        held = docs
     return docs
