@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, runs, scoring
 from ..functions import text as X
-from ..operators import relational, vector
+from ..operators import hooks, relational, upkeep, vector
 from ..sources import tables
 from .catalog import _TOPK, ORACLES, QUERIES, _query, _t, _texts
 
@@ -213,6 +213,47 @@ def tool_steps(spark, sf_dir):
     return relational.step_numbers(_t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trace"), F.col("turn").alias("ord"), F.col("role").alias("type"), kind.alias("content")))
 
 
+@_query("""
+WITH x AS (SELECT event_id, event_type AS mode, (event_id % 6) / 5.0 AS form, value / 100 AS s FROM events)
+SELECT event_id, round(CASE WHEN mode = 'purchase' THEN 0.8 * s + 0.2 * form
+    WHEN mode = 'click' THEN 0.6 * s * 0.9 + 0.2 * form + 0.2 * CASE WHEN s <= 0.8 THEN 1.0 ELSE greatest(0.0, 1 - 5 * (s - 0.8)) END
+    WHEN mode = 'view' THEN 0.8 * least(1.0, greatest(0.0, exp(-1.5 * s / 3.0))) + 0.2 * form ELSE form END, 6) AS score,
+    round(CASE WHEN mode = 'click' THEN CASE WHEN s <= 0.8 THEN 1.0 ELSE greatest(0.0, 1 - 5 * (s - 0.8)) END END, 6) AS antileak FROM x""")
+def scored_table(spark, sf_dir):
+    """The rewards by the table function of SQL, a call for each mode."""
+    s = F.col("value") / 100
+    rows = _t(spark, sf_dir, "events").select(
+        "event_id", "event_type", ((F.col("event_id") % 6) / F.lit(5.0)).alias("form"), s.alias("similarity"), (s * 0.9).alias("retrieval"), s.alias("overlap"), F.array(-s, -2 * s).alias("logprobs")
+    )
+    hooks.register(spark)
+    modes = {"purchase": "prs", "click": "fas", "view": "ppl"}
+    kind = F.col("event_type")
+    asked = [(m, rows.filter(kind == t)) for t, m in modes.items()] + [("none", rows.filter(~kind.isin(*modes)))]
+    out = [spark.sql(f"SELECT * FROM score(TABLE({{t}}), '{m}')", t=t) for m, t in asked]
+    score = out[1].select("event_id", "score", "antileak")
+    for df in (out[0], out[2], out[3]):
+        score = score.unionByName(df.select("event_id", "score"), allowMissingColumns=True)
+    return score.select("event_id", F.round("score", 6).alias("score"), F.round("antileak", 6).alias("antileak"))
+
+
+@_query("""
+WITH e AS (SELECT l_orderkey AS paper, l_partkey AS ref, l_linenumber AS pos, CASE WHEN l_returnflag <> 'R' THEN l_returnflag || ' ' || l_linestatus END AS own FROM lineitem WHERE l_linenumber <> 5 OR l_quantity > 10),
+j AS (SELECT paper, ref, pos, coalesce(p_type, own) AS abstract FROM e LEFT JOIN (SELECT * FROM part WHERE p_size > 25 AND p_size <> 30) ON p_partkey = ref WHERE coalesce(p_type, own, '') <> '')
+SELECT paper, CAST(pos AS INT) AS pos, ref, abstract FROM j JOIN (SELECT paper FROM j GROUP BY paper HAVING count(*) >= 3) USING (paper)""")
+def refreshed_references(spark, sf_dir):
+    """References after parts of one size and some lines are gone and others are new: the keys that this touches are resolved again."""
+    lines, part = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part")
+    own = F.when(F.col("l_returnflag") != "R", F.concat_ws(" ", "l_returnflag", "l_linestatus"))
+    fields = [F.col("l_orderkey").alias("paper"), F.col("l_partkey").alias("ref"), F.col("l_linenumber").alias("pos"), F.lit("edge").alias("title"), own.alias("abstract"), F.year("l_shipdate").alias("year")]
+    store = [F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("abstract"), F.col("p_size").alias("year")]
+    edges, now_edges = lines.filter("l_linenumber <> 6 OR l_quantity > 10").select(*fields), lines.filter("l_linenumber <> 5 OR l_quantity > 10").select(*fields)
+    papers, now_papers = part.filter("p_size > 26").select(*store), part.filter("p_size > 25 AND p_size <> 30").select(*store)
+    before = relational.resolved_references(edges, papers, "paper", "ref", "pos", 3)
+    touched = upkeep.touched_keys(now_edges, upkeep.changed_keys(edges, now_edges, "paper"), upkeep.changed_keys(papers, now_papers, "id"), "paper", "ref")
+    now = upkeep.refreshed(before, touched, now_edges, now_papers, "paper", "ref", "pos", 3)
+    return now.select("paper", F.explode("refs").alias("r")).select("paper", F.col("r.pos").cast("int").alias("pos"), F.col("r.id").alias("ref"), "r.abstract")
+
+
 # --- Texts -------------------------------------------------------------------------------------------
 
 
