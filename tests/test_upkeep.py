@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparquill.functions import scoring
 from sparquill.operators import hooks, relational, upkeep
 
 EDGES = "k long, ref long, pos int, title string, abstract string, year int"
@@ -94,3 +95,11 @@ def test_scorers_of_sql(spark):
     assert [r["double_form"] for r in spark.sql("SELECT * FROM own_score(TABLE({t}), 'twice') ORDER BY id", t=rows).collect()] == [2.0, 1.0]
     with pytest.raises(Exception, match="no scorer"):
         spark.sql("SELECT * FROM own_score(TABLE({t}), 'thrice')", t=rows)
+
+
+def test_reward_of_sql_equals_the_column_expression(spark):
+    hooks.reward_function(spark)
+    modes = ["prs", "fas", "ppl", "none", None]
+    rows = spark.range(100).select(F.element_at(F.array(*map(F.lit, modes)), (F.col("id") % 5 + 1).cast("int")).alias("mode"), *((F.pmod(F.xxhash64("id", F.lit(c)), F.lit(101)) / 100).alias(c) for c in ("form", "sim", "ret", "over", "pred")))
+    both = rows.select(F.expr("reward(mode, form, sim, ret, over, pred)").alias("a"), scoring.composite(*map(F.col, ("mode", "form", "sim", "ret", "over", "pred"))).alias("b"))
+    assert all(r["a"] == pytest.approx(r["b"]) for r in both.collect())
