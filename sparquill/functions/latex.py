@@ -45,7 +45,7 @@ def prepared(c: Column) -> Column:
         name = env.replace("*", r"\*")
         c = F.regexp_replace(c, rf"(?s)\\begin\{{{name}\}}.*?\\end\{{{name}\}}", " ")
     c = F.regexp_replace(F.regexp_replace(c, r"\\begin\{abstract\}", r"\\section*{Abstract}"), r"\\end\{abstract\}", "\n")
-    pseudo = r"(?m)^\s*(?:\([a-z]\)\s*)?(?:\\noindent\s*)?\\textit\{([A-Z][^{}]{1,99}[^{}.])\.*\}\s*(?:\\\\)?"
+    pseudo = r"(?m)^\s*(?:\([a-z]\)\s*)?(?:\\noindent\s*)?\\textit\{(?=[A-Z][^{}]{2,100}\.?\})([^{}]*?)\.*\}\s*(?:\\\\)?"
     return F.regexp_replace(c, pseudo, "\n\\\\section*{$1}\n")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import latex
 from ..functions.runs import model_label, plain_line
 from ..functions.text import empty
-from ..operators.relational import best_row
+from ..operators.relational import best_row, missing_ordinals
 
 REFERENCE = "struct<arxiv_id:string,title:string,abstract:string,year:int>"
 #: Schemas of the record files.
@@ -151,6 +151,21 @@ def last_lines(lines: DataFrame, n: int, key: str = "path", order: str = "number
     return parts.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("__k") <= n).drop("__k")
 
 
+def sample_states(spark: SparkSession, root: str) -> DataFrame:
+    """run, ordinal and the state of the samples under root/run/sample_NN: those from sample_00 up to the first folder that a run lacks.
+
+    A folder counts if any file is in it; one without a state that can be read gives no row and does not end the run. Numbers have two
+    digits, or more from 100 on. Only names are listed for the folders; files of states are read by the tasks.
+    """
+    place = F.col("_metadata.file_path")
+    number = r"/([^/]+)/sample_(\d\d|[1-9]\d{2,})/"
+    parts = [F.regexp_extract(place, number, 1).alias("run"), F.regexp_extract(place, number, 2).try_cast("int").alias("ordinal")]
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/*/sample_*").select(*parts).filter("ordinal is not null").distinct()
+    states = spark.read.schema(SCHEMAS["sample_state"]).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "state.json").json(f"{root}/*/sample_*")
+    own = states.select("*", *parts).filter(F.col("ordinal").isNotNull() & F.col("step").isNotNull() & F.regexp_like(place, F.lit(r"/sample_\d+/state\.json$")))
+    return own.join(missing_ordinals(there, "run", "ordinal"), "run").filter(F.col("ordinal") < F.col("missing")).drop("missing")
+
+
 def registry_entries(configs: DataFrame) -> DataFrame:
     """Registry rows of run configurations (as run_config, with run_dir and started_at)."""
     label = model_label(F.coalesce("checkpoint", F.lit("")), F.when(F.coalesce("checkpoint", F.lit("")) == "", F.col("run_id")).otherwise(""), F.col("is_api"), F.col("api_model"))

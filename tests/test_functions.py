@@ -143,3 +143,9 @@ def test_text_tail_and_blocks(spark):
     assert one(spark, X.named_blocks(F.lit("<title> t </title><approach>a</approach>"))) == "<title>\nt\n\n<approach>\na\n"
     assert one(spark, X.named_blocks(F.lit("x<thinking>no</thinking> y "))) == "x y"
     assert one(spark, runs.bar(F.lit(float("nan")), 3)).endswith(" NaN") and one(spark, runs.last_match(F.array(F.lit("a=1"), F.lit("a=2"), F.lit("b")), "a=(.)")) == 2.0
+
+
+def test_italic_headings_by_their_bounds(spark):
+    for title, kept in (("Ab.", "Ab"), ("Abc", "Abc"), ("A...", "A"), ("Ab", None), ("A" + "b" * 100, "A" + "b" * 100), ("A" + "b" * 100 + ".", "A" + "b" * 100), ("A" + "b" * 101, None), ("abc", None)):
+        got = one(spark, latex.prepared(F.lit(f"text\n\\textit{{{title}}} more")))
+        assert (f"\\section*{{{kept}}}" in got) if kept else ("section" not in got), title

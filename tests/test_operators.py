@@ -252,3 +252,22 @@ def test_hot_keys_are_cut_before_they_meet(spark):
         assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
     assert relational.tail_mean(rows, ["key"], "v", F.col("id"), 5, 0.0).first()["tail_mean"] == 8997.0
     assert relational.last_value(rows, ["key"], "v", "id").first()["v"] == 8999
+
+
+def test_sample_folders_up_to_the_first_gap(spark, tmp_path):
+    def put(run, folder, text, name="state.json"):
+        (tmp_path / run / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / run / folder / name).write_text(text)
+
+    for i in (0, 1, 2, 4):
+        put("a", f"sample_{i:02d}", f'{{\n"index": {i}, "step": "done", "passed": true}}')
+    put("a", "sample_01", "no state {")
+    put("a", "sample_00/deep", '{"index": 9, "step": "done"}')
+    put("b", "sample_01", '{"index": 1, "step": "done"}')
+    put("c", "sample_00", "x", "log.txt")
+    put("c", "sample_01", '{"index": 1, "step": "error"}')
+    put("c", "sample_2", '{"index": 2, "step": "done"}')
+    for i in range(102):
+        put("d", f"sample_{i:02d}", f'{{"index": {i}, "step": "done"}}')
+    got = sorted((r["run"], r["ordinal"], r["step"]) for r in tables.sample_states(spark, str(tmp_path)).collect())
+    assert got == [("a", 0, "done"), ("a", 2, "done"), ("c", 1, "error"), *(("d", i, "done") for i in range(102))]
