@@ -1,10 +1,6 @@
-"""Conversations as text, by templates compiled to Python closures.
+"""Conversations as text, by templates compiled to Python closures (templates.py), and read back from it.
 
-The language has text, {{ expression }}, {% for x in list %}, {% if %} / {% else %}, {% generation %} around
-what a model shall learn, and nothing else: names, members of a turn, string literals, ==, !=,
-and, or, not, and registered filters. A template is parsed into a tree, constant parts are folded,
-and each node becomes a closure that yields (text, learn) pieces, so that a conversation of any
-length is rendered as its turns arrive.
+A conversation of any length is rendered as its turns arrive.
 """
 
 from __future__ import annotations
@@ -12,273 +8,49 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .templates import FILTERS, TemplateError, compile_template, fold_body, parse  # noqa: F401 (for users of this module)
 
 TURNS = """{% for turn in turns %}### {{ turn.role | escape_name }}: {% if turn.role == 'assistant' %}{% generation %}{{ turn.text | escape }}{% endgeneration %}{% else %}{{ turn.text | escape }}{% endif %} </turn>
 {% endfor %}"""
 
-#: A backslash marks a character that would otherwise belong to a marker.
-FILTERS: dict[str, Callable[[str], str]] = {
-    "escape": lambda s: re.sub(r"[\\#<]", r"\\\g<0>", s),
-    "escape_name": lambda s: re.sub(r"[\\#<:]", r"\\\g<0>", s),
-    "lower": str.lower,
-    "upper": str.upper,
-    "trim": str.strip,
-}
 #: A turn as TURNS writes it; the text group ends with the space before its end marker.
 _TURN = re.compile(r"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.)*+)</turn>\n", re.DOTALL)
 
 
-class TemplateError(ValueError):
-    pass
-
-
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-_TOKEN = re.compile(r"\s*(?:(?P<str>'[^']*'|\"[^\"]*\")|(?P<op>==|!=|\||\(|\))|(?P<name>[A-Za-z_][\w.]*))")
-
-
-class _Expression:
-    """A recursive-descent parser of one expression; nodes are tuples headed by their kind."""
-
-    def __init__(self, source: str) -> None:
-        self.tokens, at, source = [], 0, source.strip()
-        while at < len(source):
-            m = _TOKEN.match(source, at)
-            if not m:
-                raise TemplateError(f"unexpected {source[at:]!r}")
-            self.tokens.append((m.lastgroup, m[m.lastgroup]))
-            at = m.end()
-        self.at = 0
-
-    def _next(self, *values: str) -> bool:
-        found = self.at < len(self.tokens) and self.tokens[self.at][0] != "str" and self.tokens[self.at][1] in values
-        self.at += found
-        return found
-
-    def parse(self) -> tuple:
-        node = self._or()
-        if self.at < len(self.tokens):
-            raise TemplateError(f"unexpected {self.tokens[self.at][1]!r}")
-        return node
-
-    def _or(self) -> tuple:
-        node = self._and()
-        while self._next("or"):
-            node = ("or", node, self._and())
-        return node
-
-    def _and(self) -> tuple:
-        node = self._not()
-        while self._next("and"):
-            node = ("and", node, self._not())
-        return node
-
-    def _not(self) -> tuple:
-        return ("not", self._not()) if self._next("not") else self._compare()
-
-    def _compare(self) -> tuple:
-        node = self._filtered()
-        for op in ("==", "!="):
-            if self._next(op):
-                return (op, node, self._filtered())
-        return node
-
-    def _filtered(self) -> tuple:
-        node = self._primary()
-        while self._next("|"):
-            name = self._take("name")
-            if name not in FILTERS:
-                raise TemplateError(f"no filter {name!r}")
-            node = ("filter", name, node)
-        return node
-
-    def _take(self, kind: str) -> str:
-        if self.at >= len(self.tokens) or self.tokens[self.at][0] != kind:
-            raise TemplateError(f"{kind} expected")
-        self.at += 1
-        return self.tokens[self.at - 1][1]
-
-    def _primary(self) -> tuple:
-        if self._next("("):
-            node = self._or()
-            if not self._next(")"):
-                raise TemplateError(") expected")
-            return node
-        if self.at < len(self.tokens) and self.tokens[self.at][0] == "str":
-            return ("const", self._take("str")[1:-1])
-        return ("name", *self._take("name").split("."))
-
-
-def parse(template: str) -> list[tuple]:
-    """The syntax tree: ("text", s), ("out", e), ("for", name, e, body), ("if", e, body, other), ("generation", body)."""
-    parts = re.split(r"({%.*?%}|{{.*?}})", template, flags=re.DOTALL)
-
-    def block(*ends: str) -> tuple[list[tuple], str]:
-        nodes = []
-        while parts:
-            part = parts.pop(0)
-            if part.startswith("{{"):
-                nodes.append(("out", _Expression(part[2:-2]).parse()))
-            elif part.startswith("{%"):
-                word, _, rest = part[2:-2].strip().partition(" ")
-                if word in ends:
-                    return nodes, word
-                if word == "for":
-                    m = re.fullmatch(r"(\w+) in (.+)", rest.strip())
-                    if not m:
-                        raise TemplateError(part)
-                    nodes.append(("for", m[1], _Expression(m[2]).parse(), block("endfor")[0]))
-                elif word == "if":
-                    body, end = block("else", "endif")
-                    nodes.append(("if", _Expression(rest).parse(), body, block("endif")[0] if end == "else" else []))
-                elif word == "generation":
-                    nodes.append(("generation", block("endgeneration")[0]))
-                else:
-                    raise TemplateError(part)
-            elif part:
-                nodes.append(("text", part))
-        if ends:
-            raise TemplateError(f"{ends[-1]} expected")
-        return nodes, ""
-
-    return block()[0]
-
-
-def fold(node: tuple) -> tuple:
-    """An expression with its constant parts computed."""
-    kind = node[0]
-    if kind == "filter":
-        inner = fold(node[2])
-        return ("const", FILTERS[node[1]](str(inner[1]))) if inner[0] == "const" else ("filter", node[1], inner)
-    if kind in ("==", "!=", "and", "or", "not"):
-        args = [fold(a) for a in node[1:]]
-        if all(a[0] == "const" for a in args):
-            return ("const", _value((kind, *args))({}))
-        return (kind, *args)
-    return node
-
-
-def fold_body(nodes: list[tuple]) -> list[tuple]:
-    """A body without constant conditions and outputs; neighbouring texts are joined."""
-    out: list[tuple] = []
-    for node in nodes:
-        if node[0] == "out" and (e := fold(node[1]))[0] == "const":
-            new = [("text", str(e[1]))]
-        elif node[0] == "out":
-            new = [("out", e)]
-        elif node[0] == "for":
-            new = [("for", node[1], node[2], fold_body(node[3]))]
-        elif node[0] == "if":
-            e = fold(node[1])
-            new = fold_body(node[2] if e[1] else node[3]) if e[0] == "const" else [("if", e, fold_body(node[2]), fold_body(node[3]))]
-        elif node[0] == "generation":
-            new = [("generation", fold_body(node[1]))]
-        else:
-            new = [node]
-        for n in new:
-            if n[0] == "text" and out and out[-1][0] == "text":
-                out[-1] = ("text", out[-1][1] + n[1])
-            else:
-                out.append(n)
-    return out
-
-
-def _value(node: tuple) -> Callable[[dict], object]:
-    kind = node[0]
-    if kind == "const":
-        return lambda env, v=node[1]: v
-    if kind == "name":
-        first, *rest = node[1:]
-
-        def lookup(env: dict) -> object:
-            v = env[first]
-            for r in rest:
-                v = v[r]
-            return v
-
-        return lookup
-    if kind == "filter":
-        inner, f = _value(node[2]), FILTERS[node[1]]
-        return lambda env: f(str(inner(env)))
-    args = [_value(a) for a in node[1:]]
-    if kind == "not":
-        return lambda env: not args[0](env)
-    a, b = args
-    return {
-        "==": lambda env: a(env) == b(env),
-        "!=": lambda env: a(env) != b(env),
-        "and": lambda env: a(env) and b(env),
-        "or": lambda env: a(env) or b(env),
-    }[kind]
-
-
-Render = Callable[[dict, bool], Iterator[tuple[str, bool]]]
-
-
-def _body(nodes: list[tuple]) -> Render:
-    steps = [_step(n) for n in nodes]
-
-    def run(env: dict, learn: bool) -> Iterator[tuple[str, bool]]:
-        for step in steps:
-            yield from step(env, learn)
-
-    return run
-
-
-def _step(node: tuple) -> Render:
-    kind = node[0]
-    if kind == "text":
-        return lambda env, learn, s=node[1]: iter(((s, learn),))
-    if kind == "out":
-        value = _value(node[1])
-        return lambda env, learn: iter(((str(value(env)), learn),))
-    if kind == "generation":
-        inner = _body(node[1])
-        return lambda env, learn: inner(env, True)
-    if kind == "if":
-        test, body, other = _value(node[1]), _body(node[2]), _body(node[3])
-        return lambda env, learn: (body if test(env) else other)(env, learn)
-    name, items, body = node[1], _value(node[2]), _body(node[3])
-
-    def loop(env: dict, learn: bool) -> Iterator[tuple[str, bool]]:
-        for item in items(env):
-            yield from body({**env, name: item}, learn)
-
-    return loop
-
-
-def compile_template(template: str) -> Callable[[Iterable[dict]], Iterator[tuple[str, bool]]]:
-    """A function from turns (role, text) to pieces of text, each with whether it is under a generation marker."""
-    body = _body(fold_body(parse(template)))
-    return lambda turns: body({"turns": turns}, False)
-
-
-def format_conversations(turns: DataFrame, template: str = TURNS, segment: int = 1_000_000) -> DataFrame:
+def format_conversations(turns: DataFrame, template: str = TURNS, segment: int = 1_000_000, variables: dict[str, object] | None = None, trim_blocks: bool = False) -> DataFrame:
     """conv_id, seq, formatted, spans: the text of each conversation, its turns ordered by turn, then role and text.
 
     spans are the (start, end) code points of the segment that are to be learned. A conversation longer than
     segment goes on in further rows, numbered by seq, in the same partition and in order: no task holds a
     whole conversation. Null roles and texts count as empty, repeated rows as turns of their own, turns with a null number
     come first, and a null conv_id is a conversation like any other. An empty table has no rows; further columns are not read.
+
+    A turn has role, text and, the same, content. variables and trim_blocks as in compile_template. A template that can't be
+    compiled is refused at once; one that raises (raise_exception, a turn out of reach) ends the job.
     """
+    compile_template(template, variables, trim_blocks)
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     rows = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def stream(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in C.batches(it):
-            yield from batch.to_pylist()
+            for row in batch.to_pylist():
+                row["content"] = row["text"]
+                yield row
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template)
+        render = compile_template(template, variables, trim_blocks)
         out: list[tuple] = []
         held = 0
         schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int32()), ("formatted", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
