@@ -143,6 +143,40 @@ def test_latest_state_stream(spark, tmp_path):
     assert dict(latest.latest_table(spark, str(tmp_path / "out"), "k").collect()) == {"a": 3, "b": 5}
 
 
+def test_latest_state_is_compacted(spark, tmp_path):
+    """Folders stay few, the table right, and a compacting batch may run again after a crash before or after its marker."""
+    out, chk, state = tmp_path / "out", tmp_path / "chk", {}
+
+    def run(compact=2):
+        stream = latest.records(spark, str(tmp_path / "in"), "k string, n long, s string", form="parquet")
+        latest.latest_state(stream, str(out), str(chk), "k", "n", compact).awaitTermination(60)
+        rows = latest.latest_table(spark, str(out), "k").collect()
+        assert {r["k"]: (r["n"], r["s"]) for r in rows} == state and len(rows) == len(state)
+        return sorted(int(d.name[6:]) for d in out.iterdir() if d.name.startswith("batch=")), sorted(int(d.parent.name[6:]) for d in out.glob("*/_full"))
+
+    def again(number):
+        """The last batch's end is forgotten, as if the driver was lost before it was noted."""
+        for f in (f"{number}", f".{number}.crc"):
+            (chk / "commits" / f).unlink(missing_ok=True)
+
+    for i in range(9):
+        rows = [(f"own{i}", i, "x"), ("all", i, None if i % 2 else f"v{i}"), ("old", 100 - i, f"v{i}"), (None, i, "none")]
+        state |= {k: (n, s) for k, n, s in rows if k not in state or n > state[k][0]}
+        spark.createDataFrame(rows, "k string, n long, s string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        folders, full = run()
+        assert folders[-1] == i and len(folders) <= 6
+        if full and i == full[-1]:
+            again(i)
+            if i == 4:
+                (out / f"batch={i}" / "_full").unlink()
+            assert run() == (folders, full)
+    assert full == [4, 6, 8][-len(full):] and folders[0] > 0
+    again(8)
+    run(compact=0)
+    with pytest.raises(ValueError):
+        latest.latest_state(spark.readStream.format("rate").load().withColumn("Batch", F.lit(1)), str(out), str(chk), "value", "Batch")
+
+
 def test_first_writes_and_windows_of_a_stream(spark, tmp_path):
     spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 3, 4000)], "key string, n int, t int").selectExpr("key", "n", "timestamp_seconds(t) ts").coalesce(1).write.parquet(str(tmp_path / "in"))
 
