@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import words
@@ -17,8 +18,10 @@ from .vector import values
 
 #: Distinct words of all reference texts, each counted once a text, up to which they are sent to all tasks.
 MATRIX_ROWS = 2_000_000
-#: Cells of the matrix of texts and references that a task holds at once.
+#: Cells of the matrix of texts and references, and words that both have, that a task holds at once.
 CELLS = 4_000_000
+#: Texts whose words a task counts at once.
+TEXTS = 128
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,14 +40,20 @@ def closest(rows: DataFrame, references: DataFrame, key: str = "doc_id", ref_key
     results do not depend on the order of summing.
     """
     other = term_counts(references, ref_key, text).withColumnRenamed("n", "m")
-    found = other.limit(MATRIX_ROWS + 1).toArrow()
-    if found.num_rows > MATRIX_ROWS:
+    found = _small(other)
+    if found is None:
         out = _closest_by_join(rows, other, key, ref_key, text)
     else:
         out = _closest_by_matrix(rows, found, key, ref_key, text)
     return out.withColumn("flagged", F.col("similarity") > threshold)
 
 
+def _small(other: DataFrame) -> pa.Table | None:
+    """The references' word counts, if they are few enough for all tasks."""
+    found = other.limit(MATRIX_ROWS + 1).toArrow()
+    return None if found.num_rows > MATRIX_ROWS else found
+
+
 class _Matrix:
     """Word counts of references: for each word its references and counts."""
 
@@ -60,8 +69,8 @@ class _Matrix:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.number, self.m = number[order], m[order]
 
-    def best(self, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of the closest reference of each text in items, -1 for none, and the similarity."""
+    def similarities(self, tokens: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+        """Blocks of texts, by the place of the first: their similarities to all items. A block has at most CELLS cells and CELLS meetings of words, or one text."""
         n_items, n_texts = len(self.items), len(tokens)
         codes = tokens.flatten().dictionary_encode()
         text = np.repeat(np.arange(n_texts), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
@@ -72,14 +81,27 @@ class _Matrix:
         known = pc.fill_null(pc.index_in(codes.dictionary, value_set=self.tokens), -1).to_numpy(zero_copy_only=False) if len(codes.dictionary) else np.zeros(0, int)
         token = known[code] if len(known) else np.zeros(0, int)
         text, token, n = text[token >= 0], token[token >= 0], n[token >= 0]
-        size = self.sizes[token]
-        at = np.repeat(self.starts[token] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        dots = np.bincount(np.repeat(text, size) * n_items + self.number[at], np.repeat(n, size) * self.m[at], n_texts * n_items).reshape(n_texts, n_items)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            similar = np.where(dots > 0, dots / (np.sqrt(own)[:, None] * np.sqrt(self.norms)[None, :]), 0.0)
-        best = similar.argmax(1)
-        top = similar[np.arange(n_texts), best]
-        return np.where(top > 0, best, -1), top
+        cost = np.cumsum(np.maximum(np.bincount(text, self.sizes[token], n_texts), n_items))
+        first = 0
+        while first < n_texts:
+            end = max(first + 1, int(np.searchsorted(cost, (cost[first - 1] if first else 0) + CELLS, "right")))
+            part = slice(*np.searchsorted(text, (first, end)))
+            size = self.sizes[token[part]]
+            at = np.repeat(self.starts[token[part]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            cell = np.repeat(text[part] - first, size) * n_items + self.number[at]
+            dots = np.bincount(cell, np.repeat(n[part], size) * self.m[at], (end - first) * n_items).reshape(end - first, n_items)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                yield first, np.where(dots > 0, dots / (np.sqrt(own[first:end])[:, None] * np.sqrt(self.norms)[None, :]), 0.0)
+            first = end
+
+
+def _blocks(matrix: _Matrix, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Blocks of texts' keys and their similarities to all items; batches: key, words."""
+    for big in batches:
+        for at in range(0, big.num_rows, TEXTS):
+            batch = big.slice(at, TEXTS)
+            for first, similar in matrix.similarities(batch.column(1)):
+                yield batch.column(0).slice(first, len(similar)), similar
 
 
 def _closest_by_matrix(rows: DataFrame, found: pa.Table, key: str, ref_key: str, text: str) -> DataFrame:
@@ -92,12 +114,10 @@ def _closest_by_matrix(rows: DataFrame, found: pa.Table, key: str, ref_key: str,
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
-        share = max(1, min(128, CELLS // len(matrix.items)))
-        for big in it:
-            for at in range(0, big.num_rows, share):
-                batch = big.slice(at, share)
-                best, top = matrix.best(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matrix.items[best].tolist(), ref_kind, mask=best < 0), pa.array(top)], [key, ref_key, "similarity"])
+        for keys, similar in _blocks(matrix, it):
+            best = similar.argmax(1)
+            top = similar[np.arange(len(best)), best]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(matrix.items[best].tolist(), ref_kind, mask=top <= 0), pa.array(top)], [key, ref_key, "similarity"])
 
     return rows.select(key, words(F.col(text)).alias("words")).mapInArrow(run, f"{key} {kind}, {ref_key} {ref_sql}, similarity double")
 
@@ -159,10 +179,46 @@ def candidates(own: DataFrame, other: DataFrame, key: str, ref_key: str, thresho
 def similar_pairs(rows: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", text: str = "text", threshold: float = 0.85, rest: float | None = None) -> DataFrame:
     """key, ref_key, similarity of all pairs with a cosine of word counts above threshold.
 
-    Both sides may be of any size: candidates() are joined with all words of the two texts, and the exact similarity decides.
+    Up to MATRIX_ROWS word counts of references go to all tasks, as in closest(), and no word of rows is shuffled or written.
+    Beyond, or where rest is given, both sides may be of any size: prefixes of rare words join. Rows of one key count as one
+    text; those of keys that several rows have take the join.
     """
-    own = materialize(term_counts(rows, key, text), "words")
-    other = materialize(term_counts(references, ref_key, text).withColumnRenamed("n", "m"), "words")
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
+    rows = rows.filter(F.col(key).isNotNull())
+    other = term_counts(references.filter(F.col(ref_key).isNotNull()), ref_key, text).withColumnRenamed("n", "m")
+    small = _small(other) if rest is None and isinstance(references.schema[ref_key].dataType, (T.StringType, T.IntegralType)) else None
+    if small is None:
+        return _pairs_by_prefix(rows, other, key, ref_key, text, threshold, rest)
+    repeated = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    if repeated.isEmpty():
+        return _pairs_by_matrix(rows, small, references, key, ref_key, text, threshold)
+    repeated = materialize(repeated, "keys")
+    joined = _pairs_by_prefix(rows.join(repeated, key, "left_semi"), other, key, ref_key, text, threshold, rest)
+    return _pairs_by_matrix(rows.join(repeated, key, "left_anti"), small, references, key, ref_key, text, threshold).unionByName(joined)
+
+
+def _pairs_by_matrix(rows: DataFrame, found: pa.Table, references: DataFrame, key: str, ref_key: str, text: str, threshold: float) -> DataFrame:
+    ref_type = references.schema[ref_key].dataType
+    ref_sql, ref_kind = ("string", pa.string()) if isinstance(ref_type, T.StringType) else ("long", pa.int64())
+    shared = rows.sparkSession.sparkContext.broadcast(_Matrix(found, ref_key)) if found.num_rows else None
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if shared is None:
+            return
+        matrix = shared.value
+        for keys, similar in _blocks(matrix, it):
+            own, item = np.nonzero(similar > threshold)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), pa.array(matrix.items[item].tolist(), ref_kind), pa.array(similar[own, item])], [key, ref_key, "similarity"])
+
+    out = rows.select(key, words(F.col(text)).alias("words")).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {ref_key} {ref_sql}, similarity double")
+    return out.withColumn(ref_key, F.col(ref_key).cast(ref_type))
+
+
+def _pairs_by_prefix(rows: DataFrame, other: DataFrame, key: str, ref_key: str, text: str, threshold: float, rest: float | None) -> DataFrame:
+    """candidates() are joined with all words of the two texts, and the exact similarity decides."""
+    own, other = materialize(term_counts(rows, key, text), "words"), materialize(other, "words")
     found = materialize(candidates(own, other, key, ref_key, threshold, rest), "pairs")
     norms = own.join(found.select(key).distinct(), key).groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias("a"))
     ref_norms = other.groupBy(ref_key).agg(F.sum(F.col("m") * F.col("m")).alias("c"))

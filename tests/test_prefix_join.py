@@ -72,3 +72,28 @@ def test_screen_by_text_ids(spark, monkeypatch):
         monkeypatch.setattr(overlap, "MATRIX_ROWS", rows)
         got = {r["doc_id"]: r["item_id"] for r in overlap.closest(docs, named).collect()}
         assert got == {k: None if v is None else f"paper/{v:06d}" for k, v in want.items()}
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 10])
+def test_pairs_by_matrix_and_by_join(spark, monkeypatch, limit):
+    """Both ways give the same pairs: ids of any kind, rows of one key as one text, keys of null in no pair, blocks of few cells."""
+    monkeypatch.setattr(overlap, "MATRIX_ROWS", limit)
+    monkeypatch.setattr(overlap, "CELLS", 50)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.choice([1, 3, 20]))) for _ in range(60)]
+    rows = list(enumerate(texts)) + [(300, None), (301, "")]
+    references = [(i, t + " more") for i, t in enumerate(texts[:25])] + [(90, None), (91, "")]
+    want = cosines([*rows, (400, f"{texts[0]} {texts[1]}")], references, 0.6)
+    a = spark.createDataFrame([*rows, (400, texts[0]), (400, texts[1]), (None, texts[2])], "doc_id long, text string")
+    b = spark.createDataFrame([*references, (None, texts[3])], "item_id int, text string")
+    pairs = overlap.similar_pairs(a, b, threshold=0.6)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in pairs.collect()}
+    assert any(k == 400 for k, _ in want) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert pairs.schema["item_id"].dataType.simpleString() == "int" and pairs.count() == len(want)
+
+
+def test_few_references_shuffle_no_words(spark):
+    """Against few references no word of a text is shuffled, sorted or written: the plan has the scan and the tasks' own work alone."""
+    docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    plan = overlap.similar_pairs(docs, items, threshold=0.6)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Sort" not in plan and "token" not in plan
