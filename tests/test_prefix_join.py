@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparquill.operators import overlap
@@ -97,3 +99,20 @@ def test_few_references_shuffle_no_words(spark):
     docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
     plan = overlap.similar_pairs(docs, items, threshold=0.6)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan and "Sort" not in plan and "token" not in plan
+
+
+def test_flags_hold_blocks_in_memory(spark):
+    """Whatever the texts, a block of the matrix has a bounded number of cells and of meetings; no sort or window holds a text's words."""
+    docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    plan = overlap.flags(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "token" not in plan
+    found = pa.table({"item_id": [i for i in range(100) for _ in range(2)], "token": ["the", "a"] * 100, "m": [1, 2] * 100})
+    matrix = overlap._Matrix(found, "item_id")
+    blocks = list(matrix.similarities(pa.array([["the", "a", "x"]] * 50 + [[], None, ["x"]])))
+    assert [(first, len(s)) for first, s in blocks] == [(0, 53)]
+    old, overlap.CELLS = overlap.CELLS, 1000
+    try:
+        small = list(matrix.similarities(pa.array([["the", "a", "x"]] * 50 + [[], None, ["x"]])))
+    finally:
+        overlap.CELLS = old
+    assert max(len(s) for _, s in small) <= 10 and (np.concatenate([s for _, s in small]) == blocks[0][1]).all()
