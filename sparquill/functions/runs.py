@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,50 +104,57 @@ def plain_line(c: Column) -> Column:
 _MAP, _STRICT = "map<string,string>", {"allowSingleQuotes": "false"}
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once, however often use names it."""
+    return F.transform(F.array(c), use)[0]
+
+
 def _json_metrics(line: Column) -> Column:
-    """A line that is a JSON object as a map of its texts; null where it isn't one."""
-    return F.when(F.startswith(line, F.lit("{")), F.from_json(line, _MAP, _STRICT))
+    """A line that is a JSON object as a map of its texts; null where it isn't one. What no JSON object begins with isn't parsed, as each failure costs an exception."""
+    return F.when(F.regexp_like(line, F.lit(r'^\{\s*["}]')), F.from_json(line, _MAP, _STRICT))
 
 
-#: Texts, numbers and constants as a dict literal writes them; nan is taken for none.
-_TEXT = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+#: Texts, numbers and constants as a dict literal writes them; nan is taken for none. What repeats is possessive: it never
+#: matches otherwise, and takes neither stack nor tries for long texts and lists.
+_TEXT = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
 _NUMBER = r"[-+]?(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][-+]?\d+)?"
 _PLAIN = rf"{_TEXT}|{_NUMBER}|True|False|None|nan"
-_VALUE = rf"(?:{_PLAIN}|[(\[]\s*(?:(?:{_PLAIN})\s*,?\s*)*[)\]])"
-_PAIR = rf"(?:{_TEXT}|{_NUMBER})\s*:\s*{_VALUE}"
+_VALUE = rf"{_PLAIN}|[(\[]\s*+(?:(?>{_PLAIN})\s*+(?:,\s*+)?)*+[)\]]"
+_PAIR = rf"({_TEXT}|{_NUMBER})\s*+:\s*+({_VALUE})"
 
 
 def _unquoted(c: Column) -> Column:
     """A text literal's text, escapes of single characters undone; other literals as they are."""
-    inner = F.regexp_replace(F.regexp_extract(c, r"(?s)^['\"](.*)['\"]$", 1), r"(?s)\\(.)", "$1")
-    return F.when(F.regexp_like(c, F.lit(r"^['\"]")), inner).otherwise(c)
+    inner = F.substring(c, F.lit(2), F.length(c) - 2)
+    plain = F.when(F.contains(inner, F.lit("\\")), F.regexp_replace(inner, r"(?s)\\(.)", "$1")).otherwise(inner)
+    return F.when(F.startswith(c, F.lit("'")) | F.startswith(c, F.lit('"')), plain).otherwise(c)
 
 
 def _literal_pairs(body: Column) -> Column:
     """The entries of a dict literal as a map of texts; null where it isn't one. Of equal keys the last counts; lists and tuples are no numbers, so null."""
-    whole = F.regexp_like(body, F.lit(rf"^\{{\s*{_PAIR}\s*(?:,\s*{_PAIR}\s*)*,?\s*\}}$"))
-    found = F.regexp_extract_all(body, F.lit(_PAIR), F.lit(0))
-    key = rf"^({_TEXT}|{_NUMBER})\s*:\s*(?s:(.*))$"
+    whole = F.regexp_like(body, F.lit(rf"^\{{\s*+{_PAIR}\s*+(?:,\s*+{_PAIR}\s*+)*+,?\s*+\}}$"))
 
-    def entry(pair: Column) -> Column:
-        value = F.regexp_extract(pair, key, 2)
-        text = F.when(value == "True", "true").when(value == "False", "false").when(value.isin("None", "nan") | F.regexp_like(value, F.lit(r"^[(\[]")), F.lit(None)).otherwise(_unquoted(value))
-        return F.struct(_unquoted(F.regexp_extract(pair, key, 1)).alias("key"), text.alias("value"))
+    def entry(key: Column, value: Column) -> Column:
+        none = value.isin("None", "nan") | F.startswith(value, F.lit("(")) | F.startswith(value, F.lit("["))
+        text = F.when(value == "True", "true").when(value == "False", "false").when(none, F.lit(None)).otherwise(_unquoted(value))
+        return F.struct(_unquoted(key).alias("key"), text.alias("value"))
 
-    entries = F.transform(found, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return F.when(whole, F.map_from_entries(last))
+    def last(entries: Column) -> Column:
+        own = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+        return F.when(F.size(F.array_distinct(entries["key"])) == F.size(entries), entries).otherwise(own)
+
+    keys, values = (F.regexp_extract_all(body, F.lit(_PAIR), F.lit(n)) for n in (1, 2))
+    return F.when(whole, F.map_from_entries(_once(F.zip_with(keys, values, entry), last)))
 
 
 def _dict_metrics(line: Column) -> Column:
     """The first {...} without inner braces as a map of texts: JSON as it is, else a dict literal."""
-    body = F.regexp_extract(line, r"(\{[^{}]+\})", 1)
-    return F.when(body != "", F.coalesce(F.from_json(body, _MAP, _STRICT), _literal_pairs(body)))
+    return _once(F.regexp_extract(line, r"(\{[^{}]+\})", 1), lambda body: F.when(body != "", F.coalesce(_json_metrics(body), _literal_pairs(body))))
 
 
-def _doubles(found: Column) -> Column:
-    """Numbers, and true and false as 1 and 0."""
-    return F.transform_values(found, lambda _, v: F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double")))
+def _double(v: Column) -> Column:
+    """A number, and true and false as 1 and 0."""
+    return F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double"))
 
 
 def _has(found: Column, keys: tuple[str, ...]) -> Column:
@@ -157,15 +166,13 @@ def _has(found: Column, keys: tuple[str, ...]) -> Column:
 
 def metrics(line: Column) -> Column:
     """A JSON line, else the first {...} of a line, as a map of doubles; null without one."""
-    return _doubles(F.coalesce(_json_metrics(line), _dict_metrics(line)))
+    return F.transform_values(F.coalesce(_json_metrics(line), _dict_metrics(line)), lambda _, v: _double(v))
 
 
 def first_metric(found: Column, keys: tuple[str, ...]) -> Column:
     """The value of the first key that is there; a zero counts."""
-    out = F.when(F.lit(False), F.lit(0.0))
-    for k in keys:
-        out = out.when(_has(found, (k,)), F.try_element_at(found, F.lit(k)))
-    return out
+    there = F.filter(F.array(*map(F.lit, keys)), lambda k: F.map_contains_key(found, k))
+    return F.try_element_at(found, F.get(there, 0))
 
 
 def parsed(line: Column) -> Column:
@@ -177,13 +184,13 @@ def reward_in(line: Column, found: Column) -> Column:
     """The reward of a line: a JSON line's, else that of key:value pairs of the console, else that of a dict literal. found: parsed(line)."""
     console = F.contains(line, F.lit("step:")) & F.contains(line, F.lit("critic/rewards/mean:"))
     value = F.regexp_extract(line, r"critic/rewards/mean:([-\d.eE+]+)", 1).try_cast("double")
-    return F.when(found["json"].isNotNull(), first_metric(_doubles(found["json"]), REWARD_KEYS)).when(console, value).otherwise(first_metric(_doubles(found["dict"]), REWARD_KEYS))
+    return F.when(found["json"].isNotNull(), _once(first_metric(found["json"], REWARD_KEYS), _double)).when(console, value).otherwise(_once(first_metric(found["dict"], REWARD_KEYS), _double))
 
 
 def loss_in(found: Column) -> Column:
     """The loss of a JSON line, else that of a dict literal that has no reward. found: parsed(line)."""
-    own = first_metric(_doubles(found["json"]), LOSS_KEYS)
-    return F.when(found["json"].isNotNull(), own).when(~_has(found["dict"], ("reward",)), first_metric(_doubles(found["dict"]), LOSS_KEYS))
+    own = _once(first_metric(found["json"], LOSS_KEYS), _double)
+    return F.when(found["json"].isNotNull(), own).when(~_has(found["dict"], ("reward",)), _once(first_metric(found["dict"], LOSS_KEYS), _double))
 
 
 def reward(line: Column) -> Column:

@@ -110,6 +110,21 @@ def test_log_line_forms(spark, line, reward, loss):
     assert (one(spark, runs.reward(F.lit(line))), one(spark, runs.loss(F.lit(line)))) == (reward, loss)
 
 
+@pytest.mark.parametrize(
+    ("line", "reward"),
+    [
+        ("{'why': '" + "it\\'s " * 20_000 + "', 'reward': 0.5}", 0.5),
+        ("{" + ", ".join(f"'k{i}': {i}" for i in range(5_000)) + ", 'reward': 2}", 2.0),
+        ("{'reward': 1, 'b': (" + "1" * 60 + "}", None),
+        ("{'reward': 1, 'b': (" + "1, " * 5_000 + ")}", 1.0),
+    ],
+)
+def test_long_dict_literals(spark, line, reward):
+    """Long texts and lists, many keys, a list without an end: neither the stack nor the time goes with them."""
+    rows = spark.createDataFrame([(line,)], "line string")
+    assert rows.select(runs.reward(F.col("line"))).first()[0] == reward
+
+
 def test_slots(spark):
     got = one(spark, runs.slots(F.lit("a:0-1; b:3;c:2-2;")))
     assert [tuple(x) for x in got] == [("a", 0), ("a", 1), ("b", 3), ("c", 2)]
