@@ -25,11 +25,47 @@ TEXTS = 128
 
 
 def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token, n for every word of every text.
+    """key, token, n for every word of every text; rows of one key count as one text.
 
-    The filter drops nothing: with it, plans that join on the words and plans that do not share one shuffle.
+    A task counts the words of few texts at a time, and no word is shuffled: no map of a task's keys and words is held. Only texts
+    whose key several rows have are grouped by key and word.
     """
-    return rows.select(key, F.explode(words(F.col(text))).alias("token")).filter(F.col("token").isNotNull()).groupBy(key, "token").agg(F.count("*").alias("n"))
+    repeated = _repeated(rows, key)
+    if repeated is None:
+        return _counted(rows, key, text)
+    again = repeated.select(F.col(key).alias(f"{key}_again"))
+    same = F.col(key).eqNullSafe(F.col(f"{key}_again"))
+    grouped = _counted(rows.join(again, same, "left_semi"), key, text).groupBy(key, "token").agg(F.sum("n").alias("n"))
+    return _counted(rows.join(again, same, "left_anti"), key, text).unionByName(grouped)
+
+
+def _repeated(rows: DataFrame, key: str) -> DataFrame | None:
+    """The keys that several rows have, null as well; None if there is none."""
+    repeated = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    return None if repeated.isEmpty() else materialize(repeated, "keys")
+
+
+def _counted(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, token, n for every word of every row."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in it:
+            for at in range(0, big.num_rows, TEXTS):
+                batch = big.slice(at, TEXTS)
+                tokens, row, code, n = _word_counts(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), tokens.take(pa.array(code)), pa.array(n)], [key, "token", "n"])
+
+    schema = T.StructType([rows.schema[key], T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])
+    return rows.select(key, words(F.col(text)).alias("words")).mapInArrow(run, schema)
+
+
+def _word_counts(tokens: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words; for each text and word of it, in the order of texts: the text's place, the word's, and its number there."""
+    codes = tokens.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    width = max(1, len(codes.dictionary))
+    pairs, n = np.unique(text * width + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return codes.dictionary, pairs // width, pairs % width, n
 
 
 def closest(rows: DataFrame, references: DataFrame, key: str = "doc_id", ref_key: str = "item_id", text: str = "text", threshold: float = 0.85) -> DataFrame:
@@ -72,13 +108,9 @@ class _Matrix:
     def similarities(self, tokens: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
         """Blocks of texts, by the place of the first: their similarities to all items. A block has at most CELLS cells and CELLS meetings of words, or one text."""
         n_items, n_texts = len(self.items), len(tokens)
-        codes = tokens.flatten().dictionary_encode()
-        text = np.repeat(np.arange(n_texts), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-        width = max(1, len(codes.dictionary))
-        pairs, n = np.unique(text * width + codes.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        text, code = pairs // width, pairs % width
+        distinct, text, code, n = _word_counts(tokens)
         own = np.bincount(text, n * n, n_texts)
-        known = pc.fill_null(pc.index_in(codes.dictionary, value_set=self.tokens), -1).to_numpy(zero_copy_only=False) if len(codes.dictionary) else np.zeros(0, int)
+        known = pc.fill_null(pc.index_in(distinct, value_set=self.tokens), -1).to_numpy(zero_copy_only=False) if len(distinct) else np.zeros(0, int)
         token = known[code] if len(known) else np.zeros(0, int)
         text, token, n = text[token >= 0], token[token >= 0], n[token >= 0]
         cost = np.cumsum(np.maximum(np.bincount(text, self.sizes[token], n_texts), n_items))
@@ -123,7 +155,7 @@ def _closest_by_matrix(rows: DataFrame, found: pa.Table, key: str, ref_key: str,
 
 
 def _closest_by_join(rows: DataFrame, other: DataFrame, key: str, ref_key: str, text: str) -> DataFrame:
-    own = term_counts(rows, key, text)
+    own = materialize(term_counts(rows, key, text), "words")
     norms = own.groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias("own_norm"))
     ref_norms = other.groupBy(ref_key).agg(F.sum(F.col("m") * F.col("m")).alias("ref_norm"))
     dots = own.join(other, "token").groupBy(key, ref_key).agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
@@ -190,10 +222,9 @@ def similar_pairs(rows: DataFrame, references: DataFrame, key: str = "doc_id", r
     small = _small(other) if rest is None and isinstance(references.schema[ref_key].dataType, (T.StringType, T.IntegralType)) else None
     if small is None:
         return _pairs_by_prefix(rows, other, key, ref_key, text, threshold, rest)
-    repeated = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
-    if repeated.isEmpty():
+    repeated = _repeated(rows, key)
+    if repeated is None:
         return _pairs_by_matrix(rows, small, references, key, ref_key, text, threshold)
-    repeated = materialize(repeated, "keys")
     joined = _pairs_by_prefix(rows.join(repeated, key, "left_semi"), other, key, ref_key, text, threshold, rest)
     return _pairs_by_matrix(rows.join(repeated, key, "left_anti"), small, references, key, ref_key, text, threshold).unionByName(joined)
 

@@ -77,7 +77,7 @@ WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+
 SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t GROUP BY token""")
 def term_frequency(spark, sf_dir):
     terms = overlap.term_counts(_texts(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
-    return terms.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    return terms.groupBy("token").agg(F.sum("n").alias("n"), F.count("doc_id").alias("docs"))
 
 
 _TOPK = """

@@ -116,3 +116,19 @@ def test_flags_hold_blocks_in_memory(spark):
     finally:
         overlap.CELLS = old
     assert max(len(s) for _, s in small) <= 10 and (np.concatenate([s for _, s in small]) == blocks[0][1]).all()
+
+
+@pytest.mark.parametrize("texts", [2, 128])
+def test_words_are_counted_where_the_texts_are(spark, monkeypatch, texts):
+    """No word is shuffled, sorted or held in a map of a task's keys and words, where keys differ; rows of one key, null too, count as one text."""
+    monkeypatch.setattr(overlap, "TEXTS", texts)
+    rows = [(i, f"The the w{i} of {'x ' * i}") for i in range(20)] + [(100, None), (101, ""), (102, " !")]
+    own = overlap.term_counts(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text")
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Aggregate" not in plan and "Sort" not in plan
+    assert own.schema.simpleString() == "struct<doc_id:int,token:string,n:bigint>"
+    more = [(3, "the end"), (100, "late"), (None, "a b a"), (None, "b c")]
+    both = overlap.term_counts(spark.createDataFrame(rows + more, "doc_id int, text string"), "doc_id", "text")
+    for got, given in ((own, rows), (both, rows + more)):
+        want = Counter((k, w) for k, t in given for w in re.findall(r"\w+", (t or "").lower()))
+        assert sorted((str(r["doc_id"]), r["token"], r["n"]) for r in got.collect()) == sorted((str(k), w, n) for (k, w), n in want.items())
